@@ -61,7 +61,7 @@ def implicit_rating(spark, d):
 
 @query("freshness_weight", """
 SELECT user_id, count(*) AS n,
-       round(sum(pow(2, -((epoch(TIMESTAMP '2024-02-01')::BIGINT - floor(epoch(ts))) / 86400.0::DOUBLE) / 14)), 6) AS weight
+       round(sum(pow(2, -((epoch_us(TIMESTAMP '2024-02-01') // 1000000 - floor(epoch(ts))) / 86400.0::DOUBLE) / 14)), 6) AS weight
 FROM interactions GROUP BY ALL""")
 def freshness_weight(spark, d):
     now = F.lit(NOW).cast("timestamp")
