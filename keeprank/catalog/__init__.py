@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = [
-    "projections", "sources", "joins",
+    "projections", "sources", "joins", "aggregates", "windows", "rankings",
 
 ]
 

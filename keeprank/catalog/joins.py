@@ -157,10 +157,10 @@ def taste_graph(spark, d):
 @query("taste_graph_vectors", f"""
 WITH {USER_VECTOR_SQL}
 SELECT a.user_id, b.user_id AS user_id_b, round(list_cosine_similarity(a.user_vector, b.user_vector), 6) AS similarity
-FROM uv a JOIN uv b ON a.user_id < b.user_id WHERE list_cosine_similarity(a.user_vector, b.user_vector) >= 0.9""")
+FROM uv a JOIN uv b ON a.user_id < b.user_id WHERE list_cosine_similarity(a.user_vector, b.user_vector) >= 0.3""")
 def taste_graph_vectors(spark, d):
     vectors = user_vectors(spark, d)
-    return sim.vector_join(vectors, vectors, "user_id", "user_id", "user_vector", "user_vector", min_similarity=0.9,
+    return sim.vector_join(vectors, vectors, "user_id", "user_id", "user_vector", "user_vector", min_similarity=0.3,
                            same_table=True).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -244,13 +244,13 @@ def reshard_diff(spark, d):
     return ring.reshard_diff(T.users(spark, d).select("user_id"), _nodes(spark), _nodes(spark, S.SHARDS + 1), "user_id")
 
 
-@query("shard_load", f"""
+@query("ring_load", f"""
 WITH {ring_sql()}, k AS (SELECT user_id, {md5('user_id')} AS h FROM users),
 o AS (SELECT shard, h - coalesce(lag(h) OVER (ORDER BY h), (SELECT max(h) FROM vn) - {1 << 60}) AS arc FROM vn),
 l AS (SELECT shard, sum(arc::DOUBLE) / {1 << 60}::DOUBLE AS load FROM o GROUP BY 1),
 a AS (SELECT coalesce(vn.shard, (SELECT arg_min(shard, h) FROM vn)) AS shard FROM k ASOF LEFT JOIN vn ON k.h < vn.h)
 SELECT l.shard, round(any_value(l.load), 9) AS load, count(a.shard)::BIGINT AS users FROM l LEFT JOIN a USING (shard) GROUP BY 1""")
-def shard_load(spark, d):
+def ring_load(spark, d):
     nodes = _nodes(spark)
     held = ring.assign_shard(T.users(spark, d).select("user_id"), nodes, "user_id").groupBy("shard").agg(F.count("*").alias("users"))
     return ring.ring_load(nodes).join(held, "shard", "left").select(
