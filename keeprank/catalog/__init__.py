@@ -14,7 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = [
-    "projections", "sources", "joins", "aggregates", "windows", "rankings",
+    "projections", "sources", "joins", "aggregates", "windows", "rankings", "vectors", "learning",
+    "recommendation",
 
 ]
 

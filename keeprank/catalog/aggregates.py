@@ -317,13 +317,13 @@ def seller_indicators(spark, d):
 
 @query("elasticity_features", """
 WITH o AS (SELECT user_id, order_id, sum(price) AS v FROM purchases GROUP BY ALL), a AS (SELECT user_id, avg(v) AS aov, count(*) AS orders FROM o GROUP BY 1)
-SELECT p.user_id, count(*) AS purchases, any_value(a.orders) AS orders, round(any_value(a.aov), 8) AS avg_order_value, round(avg((discount > 0)::INT), 6) AS discount_rate,
+SELECT p.user_id, count(*) AS purchases, any_value(a.orders) AS orders, round(any_value(a.aov), 10) AS avg_order_value, round(avg((discount > 0)::INT), 6) AS discount_rate,
        round(quantile_cont(price, 0.1), 8) AS price_p10, round(quantile_cont(price, 0.9), 8) AS price_p90, round(max(price) FILTER (NOT is_returned), 8) AS willingness_to_pay
 FROM purchases p JOIN a USING (user_id) GROUP BY 1""")
 def elasticity_features(spark, d):
     r8 = lambda c: F.round(c, 8).alias(c)
     return elasticity.elasticity_features(T.purchase_lines(spark, d)).select(
-        "user_id", "purchases", "orders", r8("avg_order_value"), r6("discount_rate"), r8("price_p10"), r8("price_p90"), r8("willingness_to_pay"))
+        "user_id", "purchases", "orders", F.round("avg_order_value", 10).alias("avg_order_value"), r6("discount_rate"), r8("price_p10"), r8("price_p90"), r8("willingness_to_pay"))
 
 
 @query("preference_vector", f"""

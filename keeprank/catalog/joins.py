@@ -48,15 +48,20 @@ def match_returns_asof(spark, d):
 
 
 INDEX_SQL = f"ix AS (SELECT item_id, row_number() OVER (ORDER BY {md5('item_id')}, item_id) - 1 AS idx FROM items)"
-NEGATIVE_SQL = f"""
+
+def negative_sql(known: str) -> str:
+    return f"""
 {INDEX_SQL},
 pr AS (SELECT min(c) AS p FROM (SELECT unnest(range((SELECT greatest(count(*), 2) FROM items), (SELECT count(*) + 1000 FROM items))) AS c) q
        WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 2000)) AS z) w WHERE z * z <= c AND c % z = 0)),
 u AS (SELECT user_id, {md5('user_id', '42', "'start'")} % p AS a, 1 + {md5('user_id', '42', "'stride'")} % (p - 1) AS b, p
-      FROM (SELECT DISTINCT user_id FROM history), pr),
+      FROM (SELECT DISTINCT user_id FROM {known}), pr),
 s AS (SELECT u.user_id, j.j AS draw, (a + j.j * b) % p AS idx FROM u, (SELECT unnest(range(0, (SELECT p FROM pr))) AS j) j),
 c AS (SELECT s.user_id, ix.item_id, row_number() OVER (PARTITION BY s.user_id ORDER BY draw) AS sample_rank
-      FROM s JOIN ix USING (idx) LEFT JOIN history h ON h.user_id = s.user_id AND h.item_id = ix.item_id WHERE h.item_id IS NULL)"""
+      FROM s JOIN ix USING (idx) LEFT JOIN {known} h ON h.user_id = s.user_id AND h.item_id = ix.item_id WHERE h.item_id IS NULL)"""
+
+
+NEGATIVE_SQL = negative_sql("history")
 
 
 @query("negative_samples", f"""

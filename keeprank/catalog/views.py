@@ -34,7 +34,7 @@ SELECT user_id, category, n, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS a
 FROM (SELECT user_id, category, count(*) AS n FROM purchases GROUP BY ALL)""",
     "history": "SELECT DISTINCT user_id, item_id FROM purchases",
     "daily_units": """
-SELECT item_id, CAST(ts AS DATE) AS day, count(*) AS units, round(avg(price), 2) AS price
+SELECT item_id, CAST(ts AS DATE) AS day, count(*) AS units, avg(price) AS price
 FROM interactions WHERE event_type <> 'return' GROUP BY ALL""",
     "reviews": """
 SELECT pu.seller_id, pu.user_id, pu.item_id, pu.purchase_ts AS ts, i.rating, u.ip_group

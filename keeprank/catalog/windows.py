@@ -164,8 +164,7 @@ WITH {NAIVE_SQL}, c AS (SELECT item_id, step, inventory % 40 AS inventory, sum(u
 SELECT item_id, round(max(cum), 6) AS total_units, min(step + 1) FILTER (round(cum, 9) >= inventory)::BIGINT AS first_short_day FROM c GROUP BY 1""")
 def cumulative_demand(spark, d):
     stock = T.items(spark, d).select("item_id", (F.col("inventory") % 40).alias("inventory"))
-    out = demand.cumulative_demand(naive_forecast(spark, d).withColumn(
-        "forecast", F.transform("forecast", lambda x: F.round(x, 9))).join(stock, "item_id"))
+    out = demand.cumulative_demand(naive_forecast(spark, d).join(stock, "item_id"))
     return out.withColumn("total_units", F.round("total_units", 6))
 
 

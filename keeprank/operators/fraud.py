@@ -9,6 +9,7 @@ from keeprank import settings as S
 from keeprank.operators.features import mean_vectors
 from keeprank.operators.graph import connected_components
 from keeprank.operators.similarity import similar_sets, vector_join
+from keeprank.session import cut_lineage, write_and_read
 
 
 def seller_indicators(reviews: DataFrame) -> DataFrame:
@@ -71,8 +72,10 @@ def suspicion(indicators: DataFrame) -> DataFrame:
 def smooth_scores(features: DataFrame, pairs: DataFrame, rounds: int = 3) -> DataFrame:
     """Neighbour averaging with a residual: v <- (v + mean of neighbours) / 2, for ``features(seller_id, vector)``."""
     links = pairs.select("seller_a", "seller_b").union(pairs.select("seller_b", "seller_a")).distinct().toDF("node", "nbr")
+    links = write_and_read(links, "seller-links")
     state = features.select("seller_id", "vector")
     for _ in range(rounds):
+        state = cut_lineage(state)
         heard = mean_vectors(links.join(state.withColumnRenamed("seller_id", "nbr"), "nbr"), "node", "vector")
         state = state.join(heard, state.seller_id == heard.node, "left").select(
             "seller_id", F.coalesce(F.zip_with("vector", "mean_vector", lambda a, b: (a + b) / 2), F.col("vector")).alias("vector"))
@@ -94,6 +97,6 @@ def suspicious_reviews(reviews: DataFrame, days: int = 7) -> DataFrame:
         F.count("*").alias("reviews"), F.stddev_pop(F.unix_seconds("ts").cast("double")).alias("spread"),
         F.avg("rating").alias("avg_rating"), F.count_distinct("ip_group").alias("prefixes"))
     tight = (F.col("spread") < 86400).cast("int")
-    high = (F.col("avg_rating") >= 4).cast("int")
+    high = (F.round("avg_rating", 9) >= 4).cast("int")
     narrow = (F.col("prefixes") / F.col("reviews") <= 0.5).cast("int")
     return grouped.withColumn("score", ((tight + high + narrow) / 3) * (F.col("reviews") >= 2).cast("int"))

@@ -9,7 +9,7 @@ from keeprank import settings as S
 from keeprank.functions.hashing import md5_60
 from keeprank.operators.features import mean_vectors
 from keeprank.operators.ranking import top_k
-from keeprank.session import cut_lineage
+from keeprank.session import cut_lineage, write_and_read
 from keeprank.sources import tables as T
 
 # Node-type prefixes of the prefixed ids.
@@ -136,7 +136,7 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_per_hop: in
     n_types = len(types) if types is not None else 12
     bound = max_per_hop + (1 + max_per_hop * (hops - 1)) * n_types
     order = [F.desc("weight"), F.asc("nbr"), F.asc("edge_type")]
-    links = top_k(links, ["node"], order, bound, "_r").drop("_r")
+    links = write_and_read(top_k(links, ["node"], order, bound, "_r").drop("_r"), "adjacency")
     visited = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("nbr"))
     frontier, found = visited, None
     for hop in range(1, hops + 1):
@@ -159,6 +159,7 @@ def sample_subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 2, samples:
     links = undirected(edges)
     pairs = links.select("node", "nbr").distinct()
     drawn = top_k(pairs, ["node"], [md5_60(F.col("node"), F.col("nbr"), seed), F.asc("nbr")], samples, "_r").drop("_r")
+    drawn = write_and_read(drawn, "sampled")
     frontier = seeds.select(F.col("node_id").alias("node")).distinct()
     reached = None
     for _ in range(hops):
@@ -192,10 +193,10 @@ def sage_mean(nodes: DataFrame, edges: DataFrame, layers: int = 2,
     Per edge type: relu(W_self·h + W_nbr·mean(neighbours) + b); then the mean over the node's edge types.
     Nodes without edges keep relu(h). Missing weights mean identity and zero bias.
     """
-    links = undirected(edges).select("node", "nbr", "edge_type").distinct()
+    links = write_and_read(undirected(edges).select("node", "nbr", "edge_type").distinct(), "links")
     types = [None] if not (self_weights or neighbor_weights or bias) else sorted(
         {*(self_weights or {}), *(neighbor_weights or {}), *(bias or {})})
-    state = nodes.select("node_id", "vector")
+    state = cut_lineage(nodes.select("node_id", "vector"))
 
     def relu_sum(own: Column, agg: Column, b: list[float] | None) -> Column:
         added = F.zip_with(own, agg, lambda x, y: x + y)
@@ -217,7 +218,8 @@ def sage_mean(nodes: DataFrame, edges: DataFrame, layers: int = 2,
         updated = mean_vectors(both.select("node", out.alias("h")), "node", "h")
         lonely = state.join(updated, state.node_id == updated.node, "left").select(
             "node_id", F.coalesce("mean_vector", F.transform("vector", lambda x: F.greatest(x, F.lit(0.0)))).alias("vector"))
-        state = cut_lineage(lonely) if layer + 1 < layers and (layer + 1) % 2 == 0 else lonely
+        # Both joins of the next layer read the state, so it is cut here rather than computed twice.
+        state = cut_lineage(lonely) if layer + 1 < layers else lonely
     return state
 
 

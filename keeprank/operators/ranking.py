@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keeprank.functions.hashing import md5_60
 
 HASH_SLICES = 4096
+GROUP_LIMIT = 1000
 
 
 def ranked(df: DataFrame, keys: list, order: list[Column], rank_col: str = "rank") -> DataFrame:
@@ -17,6 +18,11 @@ def ranked(df: DataFrame, keys: list, order: list[Column], rank_col: str = "rank
 def top_k(df: DataFrame, keys: list, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """First k rows per key. Spark limits each partition before the shuffle, so hot keys stay small."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    if k > GROUP_LIMIT:
+        # Beyond Spark's own limit push-down: cut hashed slices of each key first, then the key itself.
+        slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn(
+            "_pre", F.row_number().over(slices)).filter(F.col("_pre") <= k).drop("_slice", "_pre")
     limited = df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
     return limited.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 

@@ -127,7 +127,7 @@ def daily_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         interactions(spark, sf_dir)
         .filter(F.col("event_type") != "return")
         .groupBy("item_id", F.to_date("ts").alias("day"))
-        .agg(F.count("*").alias("units"), F.round(F.avg("price"), 2).alias("price"))
+        .agg(F.count("*").alias("units"), F.avg("price").alias("price"))
     )
 
 
