@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = [
     "projections", "sources", "joins", "aggregates", "windows", "rankings", "vectors", "learning",
-    "recommendation",
+    "recommendation", "streams",
 
 ]
 

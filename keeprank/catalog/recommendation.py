@@ -316,14 +316,14 @@ def context_compare(spark, d):
 @query("inventory_report", f"""
 WITH {NAIVE_SQL}, g AS (SELECT item_id, sum(units) FILTER (step < 7) AS d7, sum(units) FILTER (step < 14) AS d14, sum(units) FILTER (step < 21) AS d21, sum(units) AS d30 FROM f GROUP BY 1),
 j AS (SELECT g.*, inventory % 60 AS inv FROM g JOIN items USING (item_id))
-SELECT item_id, inv AS inventory, round(d7, 6) AS demand_7, round(least(1, d7 / greatest(inv, 1)), 6)::DOUBLE AS p7, round(least(1, d14 / greatest(inv, 1)), 6)::DOUBLE AS p14,
-       round(least(1, d21 / greatest(inv, 1)), 6)::DOUBLE AS p21, round(least(1, d30 / greatest(inv, 1)), 6)::DOUBLE AS p30,
-       CASE WHEN round(least(1, d7 / greatest(inv, 1)), 6) > 0.7 THEN 'LOW' WHEN round(least(1, d7 / greatest(inv, 1)), 6) < 0.3 THEN 'OK' ELSE 'Medium' END AS status, round(d7, 9) >= inv AS removed FROM j""")
+SELECT item_id, inv AS inventory, round(d7, 6) AS demand_7, round(least(1, d7 / greatest(inv, 1)), 9)::DOUBLE AS p7, round(least(1, d14 / greatest(inv, 1)), 9)::DOUBLE AS p14,
+       round(least(1, d21 / greatest(inv, 1)), 9)::DOUBLE AS p21, round(least(1, d30 / greatest(inv, 1)), 9)::DOUBLE AS p30,
+       CASE WHEN round(least(1, d7 / greatest(inv, 1)), 9) > 0.7 THEN 'LOW' WHEN round(least(1, d7 / greatest(inv, 1)), 9) < 0.3 THEN 'OK' ELSE 'Medium' END AS status, round(d7, 9) >= inv AS removed FROM j""")
 def inventory_report(spark, d):
     stock = T.items(spark, d).select("item_id", (F.col("inventory") % 60).alias("inventory"))
     joined = naive_forecast(spark, d).join(stock, "item_id")
     need = arrays.slice_sum(F.col("forecast"), 7)
-    prob = {n: F.round(scoring.stockout_probability(F.col("forecast"), F.col("inventory"), n), 6) for n in (7, 14, 21, 30)}
+    prob = {n: F.round(scoring.stockout_probability(F.col("forecast"), F.col("inventory"), n), 9) for n in (7, 14, 21, 30)}
     return joined.select("item_id", "inventory", F.round(need, 6).alias("demand_7"), *[c.alias(f"p{n}") for n, c in prob.items()],
                          scoring.stock_status(prob[7]).alias("status"), (F.round(need, 9) >= F.col("inventory")).alias("removed"))
 
