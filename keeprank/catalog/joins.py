@@ -161,7 +161,7 @@ def taste_graph(spark, d):
 
 @query("taste_graph_vectors", f"""
 WITH {USER_VECTOR_SQL}
-SELECT a.user_id, b.user_id AS user_id_b, round(list_cosine_similarity(a.user_vector, b.user_vector), 6) AS similarity
+SELECT a.user_id, b.user_id AS user_id_b, round(round(list_cosine_similarity(a.user_vector, b.user_vector), 9), 6) AS similarity
 FROM uv a JOIN uv b ON a.user_id < b.user_id WHERE list_cosine_similarity(a.user_vector, b.user_vector) >= 0.3""")
 def taste_graph_vectors(spark, d):
     vectors = user_vectors(spark, d)

@@ -289,12 +289,12 @@ def naive_forecast(spark, d):
 
 @query("stockout_probability", f"""
 WITH {NAIVE_SQL}
-SELECT item_id, round(least(1, sum(units) FILTER (step < 7) / greatest(any_value(inventory), 1)), 6)::DOUBLE AS p7,
-       round(least(1, sum(units) FILTER (step < 30) / greatest(any_value(inventory), 1)), 6)::DOUBLE AS p30
+SELECT item_id, round(least(1, sum(units) FILTER (step < 7) / greatest(any_value(inventory), 1)), 9)::DOUBLE AS p7,
+       round(least(1, sum(units) FILTER (step < 30) / greatest(any_value(inventory), 1)), 9)::DOUBLE AS p30
 FROM f JOIN items USING (item_id) GROUP BY ALL""")
 def stockout_probability(spark, d):
     joined = naive_forecast(spark, d).join(T.items(spark, d).select("item_id", "inventory"), "item_id")
-    prob = lambda days: F.round(scoring.stockout_probability(F.col("forecast"), F.col("inventory"), days), 6)
+    prob = lambda days: F.round(scoring.stockout_probability(F.col("forecast"), F.col("inventory"), days), 9)
     return joined.select("item_id", prob(7).alias("p7"), prob(30).alias("p30"))
 
 
@@ -311,14 +311,14 @@ def stock_status(spark, d):
 WITH c AS (SELECT user_id, item_id, count(*) AS n FROM purchases GROUP BY ALL),
 s AS (SELECT c.user_id, c.item_id, round((c.n * i.rating) * CASE WHEN coalesce(r.probability, 0) >= 0.35 THEN 0.1 ELSE 1 END, 9) AS score
       FROM c JOIN items i USING (item_id) LEFT JOIN seller_risk r ON r.seller_id = i.seller_id)
-SELECT user_id, item_id, round(score, 4) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s""")
+SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s""")
 def fraud_demotion(spark, d):
     counted = T.purchase_lines(spark, d).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
     risk = T.purchase_lines(spark, d).groupBy("seller_id").agg(
         (F.count_if("is_returned") / F.count("*")).alias("probability"))
     cand = counted.join(T.items(spark, d).select("item_id", "seller_id", "rating"), "item_id").join(risk, "seller_id", "left")
     score = scoring.fraud_demotion(F.col("n") * F.col("rating"), F.col("probability"), threshold=0.35)
-    return ranking.rerank(cand, "user_id", score).select("user_id", "item_id", F.round("score", 4).alias("score"), "rank")
+    return ranking.rerank(cand, "user_id", score).select("user_id", "item_id", "score", "rank")
 
 
 CENTROID_SQL = """

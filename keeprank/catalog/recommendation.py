@@ -204,10 +204,10 @@ def chain_parts(spark, d):
     return rows, steps
 
 
-@query("ranking_chain", f"WITH {CHAIN_SQL} SELECT user_id, item_id, round(score, 6) AS score, rank FROM c7 WHERE rank <= 50")
+@query("ranking_chain", f"WITH {CHAIN_SQL} SELECT user_id, item_id, score, rank FROM c7 WHERE rank <= 50")
 def ranking_chain(spark, d):
     rows, steps = chain_parts(spark, d)
-    return chain.run_chain(rows, list(steps.values()), 50).select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return chain.run_chain(rows, list(steps.values()), 50).select("user_id", "item_id", "score", "rank")
 
 
 @query("ranking_chain_full")
