@@ -53,13 +53,15 @@ class Inputs:
     """Shared inputs of the recommendation queries."""
 
     def __init__(self, spark, d):
-        self.items, self.users = T.items_with_reviews(spark, d), T.users(spark, d)
-        self.affinities = write_and_read(T.affinities(spark, d).select("user_id", "category", "affinity"), "affinities")
-        self.history, self.shifts = T.history(spark, d), context.shift_table(spark, SHIFTS)
-        self.typical = R.typical_categories(self.affinities)
+        self.items, self.popular, self.users = T.items(spark, d), T.items_with_reviews(spark, d), T.users(spark, d)
+        # One pass over the purchases; history and affinities both come from the pair counts.
+        self.pairs = write_and_read(T.purchase_lines(spark, d).groupBy("user_id", "item_id").agg(F.count("*").alias("n")), "pairs")
+        self.affinities = T.affinities_of(self.pairs.join(self.items.select("item_id", "category"), "item_id"))
+        self.history, self.shifts = self.pairs.select("user_id", "item_id"), context.shift_table(spark, SHIFTS)
 
     def run(self, requests, listed=None, dedup=True):
-        return R.recommend(requests, self.items, self.users, self.affinities, self.history, self.shifts, self.typical, listed, dedup)
+        return R.recommend(requests, self.items, self.users, self.affinities, self.history, self.shifts, None, listed,
+                           dedup, self.popular)
 
 
 @query("recommend", f"""

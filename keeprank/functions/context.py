@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keeprank.session import small_table
+
 # Contexts with (price tolerance, impulse, discovery affinity).
 CONTEXT_SCALARS = {
     "post_payday": (0.4, 0.6, 0.4),
@@ -102,12 +104,12 @@ def time_window(hour: Column, weekday: Column) -> Column:
 def context_table(spark: SparkSession) -> DataFrame:
     """Seven rows of behavioural scalars, one per context."""
     rows = [(name, *scalars) for name, scalars in CONTEXT_SCALARS.items()]
-    return spark.createDataFrame(rows, "context STRING, price_tolerance DOUBLE, impulse DOUBLE, discovery DOUBLE")
+    return small_table(spark, rows, "context STRING, price_tolerance DOUBLE, impulse DOUBLE, discovery DOUBLE")
 
 
 def shift_table(spark: SparkSession, shifts: dict[str, dict[str, float]]) -> DataFrame:
     rows = [(ctx, cat, delta) for ctx, per in shifts.items() for cat, delta in per.items()]
-    return spark.createDataFrame(rows, "context STRING, category STRING, delta DOUBLE")
+    return small_table(spark, rows, "context STRING, category STRING, delta DOUBLE")
 
 
 def volatility_profile(requests: DataFrame, has_sequence: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keeprank import settings as S
 from keeprank.functions.arrays import blend
+from keeprank.session import small_table
 
 # Life events in tie order with their categories.
 LIFE_EVENTS = {
@@ -21,7 +22,7 @@ LIFE_EVENTS = {
 
 def cluster_table(spark: SparkSession, clusters: dict[str, list[str]] | None = None) -> DataFrame:
     rows = [(event, pos, cat) for pos, (event, cats) in enumerate((clusters or LIFE_EVENTS).items()) for cat in cats]
-    return spark.createDataFrame(rows, "event_type STRING, event_order INT, category STRING")
+    return small_table(spark, rows, "event_type STRING, event_order INT, category STRING")
 
 
 def jaccard(a, b):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keeprank import settings as S
 from keeprank.functions.hashing import HASH_BITS, md5_60
+from keeprank.session import small_table
 
 CELL_BITS = 12
 SPAN = 1 << HASH_BITS
@@ -14,7 +15,7 @@ SPAN = 1 << HASH_BITS
 
 def virtual_nodes(spark: SparkSession, shards: list[int], per_shard: int = S.VIRTUAL_NODES) -> DataFrame:
     """(shard, vnode, h); its size is fixed by the two parameters, not by the data."""
-    ids = spark.createDataFrame([(int(s),) for s in shards], "shard BIGINT")
+    ids = small_table(spark, [(int(s),) for s in shards], "shard BIGINT")
     spread = ids.withColumn("vnode", F.explode(F.sequence(F.lit(0), F.lit(per_shard - 1))))
     return spread.withColumn("h", md5_60(F.col("shard"), F.col("vnode")))
 

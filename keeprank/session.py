@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A constant dimension table as a local relation, so its exact size is known to the optimizer."""
+    names = [part.split()[0] for part in schema.split(",")]
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows])
+    return spark.createDataFrame(table, schema)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 

@@ -6,7 +6,7 @@ by separate functions rather than by relying on outer-join elimination.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keeprank.functions.context import implicit_rating
@@ -111,11 +111,15 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, category, n, affinity): share of the user's purchases per category."""
-    per = purchases(spark, sf_dir).groupBy("user_id", "category").agg(F.count("*").alias("n"))
-    total = per.groupBy("user_id").agg(F.sum("n").alias("total"))
-    return per.join(total, "user_id").select(
-        "user_id", "category", "n", (F.col("n") / F.col("total")).alias("affinity")
-    )
+    return affinities_of(purchases(spark, sf_dir).withColumn("n", F.lit(1)))
+
+
+def affinities_of(counted: DataFrame) -> DataFrame:
+    """The same from rows ``(user_id, category, n)`` that may repeat."""
+    per = counted.groupBy("user_id", "category").agg(F.sum("n").alias("n"))
+    # One row per user and category is left, so the per-user total is a small window, not a second join.
+    total = F.sum("n").over(Window.partitionBy("user_id"))
+    return per.select("user_id", "category", "n", (F.col("n") / total).alias("affinity"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
