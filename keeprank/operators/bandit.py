@@ -61,7 +61,7 @@ def top_arms(contexts: DataFrame, arms: DataFrame, k: int, alpha: float = S.BAND
 
     def score(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(a):
-            return pd.DataFrame({"x": [], "arm_id": [], "ucb": []})
+            return pd.DataFrame({"x": [], "arm_id": [], "ucb": []}, dtype=object)
         a = a.sort_values("arm_id", kind="stable")
         theta = np.stack([np.asarray(v) for v in a["theta"]])
         inv = np.stack([np.asarray(v) for v in a["inverse"]]).reshape(len(a), theta.shape[1], -1)
