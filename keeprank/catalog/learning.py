@@ -13,6 +13,7 @@ from keeprank.catalog.windows import LIFE_SQL, detected_events
 from keeprank.functions import context, scoring
 from keeprank.operators import bandit, demand, elasticity, factors, features, fraud, learned, lifestage, ranking, sampling
 from keeprank.operators import similarity as sim
+from keeprank.session import write_and_read
 from keeprank.sources import tables as T
 
 NOW = "2024-02-01 00:00:00"
@@ -59,6 +60,7 @@ def learned_two_tower(spark, d):
     known = T.history(spark, d)
     negatives = sampling.negative_samples(known, T.items(spark, d), 4).select("user_id", "item_id", F.lit(0.0).alias("label"))
     rows = known.withColumn("label", F.lit(1.0)).unionByName(negatives).join(users, "user_id").join(items, "item_id")
+    rows = write_and_read(rows, "tower-rows")
     scored = learned.two_tower_scores(rows, rows, ["user_segment", "price_sensitivity", "category", "brand"], ["price", "rating"])
     return scored.select("user_id", "item_id", "label", "prediction")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keeprank.functions.arrays import dot
 from keeprank.functions.scoring import freshness_weight
 from keeprank.operators.ranking import dense_index
+from keeprank.session import write_and_read
 
 
 def interaction_matrix(interactions: DataFrame, now: Column | None = None) -> DataFrame:
@@ -65,8 +67,9 @@ def svd_factors(matrix: DataFrame, k: int):
     """
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
-    users = dense_index(matrix.select("user_id").distinct(), "user_id", "u")
-    items = dense_index(matrix.select("item_id").distinct(), "item_id", "i")
+    matrix = write_and_read(matrix.select("user_id", "item_id", "value"), "matrix")
+    users = write_and_read(dense_index(matrix.select("user_id").distinct(), "user_id", "u"), "svd-users")
+    items = write_and_read(dense_index(matrix.select("item_id").distinct(), "item_id", "i"), "svd-items")
     n_items = items.count()
     if n_items > 5_000:
         raise ValueError(f"svd_factors holds an item Gram matrix on the driver; {n_items} items are too many, use als_factors")
@@ -74,7 +77,7 @@ def svd_factors(matrix: DataFrame, k: int):
     k = max(1, min(k, min(n_users, n_items) - 1))
     cells = matrix.join(users, "user_id").join(items, "item_id").select("u", "i", "value")
     entries = cells.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))
-    indexed = CoordinateMatrix(entries, n_users, n_items).toIndexedRowMatrix()
+    indexed = CoordinateMatrix(entries.persist(StorageLevel.MEMORY_AND_DISK), n_users, n_items).toIndexedRowMatrix()
     svd = indexed.computeSVD(k, computeU=True)
     sigma, v = svd.s.toArray(), svd.V.toArray()
     spark = matrix.sparkSession

@@ -11,9 +11,16 @@ from keeprank import settings as S
 from keeprank.operators.ranking import top_k
 
 
-def mean_vectors(df: DataFrame, key, vector: str = "embedding", weight: str | None = None) -> DataFrame:
-    """(Weighted) mean vector per key with a JVM aggregate; map-side combine keeps hot keys small."""
+def mean_vectors(df: DataFrame, key, vector: str = "embedding", weight: str | None = None, dim: int | None = None) -> DataFrame:
+    """(Weighted) mean vector per key with a JVM aggregate; map-side combine keeps hot keys small.
+
+    With a known small ``dim`` the mean is one plain average per position, which stays in generated code.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    if dim is not None and weight is None:
+        means = [F.avg(F.get(vector, F.lit(i))).alias(f"_m{i}") for i in range(dim)]
+        return df.filter(F.col(vector).isNotNull()).groupBy(*keys).agg(*means).select(
+            *keys, F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("mean_vector"))
     col = array_to_vector(F.col(vector))
     mean = Summarizer.mean(col) if weight is None else Summarizer.mean(col, F.col(weight))
     return df.filter(F.col(vector).isNotNull()).groupBy(*keys).agg(vector_to_array(mean).alias("mean_vector"))

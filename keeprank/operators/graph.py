@@ -187,11 +187,12 @@ def matvec(matrix: list[list[float]] | None, vector: Column) -> Column:
 
 def sage_mean(nodes: DataFrame, edges: DataFrame, layers: int = 2,
               self_weights: dict[str, list] | None = None, neighbor_weights: dict[str, list] | None = None,
-              bias: dict[str, list[float]] | None = None) -> DataFrame:
+              bias: dict[str, list[float]] | None = None, dim: int | None = None) -> DataFrame:
     """Mean-aggregation message passing on ``nodes(node_id, vector)``.
 
     Per edge type: relu(W_self·h + W_nbr·mean(neighbours) + b); then the mean over the node's edge types.
-    Nodes without edges keep relu(h). Missing weights mean identity and zero bias.
+    Nodes without edges keep relu(h). Missing weights mean identity and zero bias. ``dim`` is the vector length, if
+    it is small and the weights keep it.
     """
     links = write_and_read(undirected(edges).select("node", "nbr", "edge_type").distinct(), "links")
     types = [None] if not (self_weights or neighbor_weights or bias) else sorted(
@@ -206,7 +207,7 @@ def sage_mean(nodes: DataFrame, edges: DataFrame, layers: int = 2,
 
     for layer in range(layers):
         sent = links.join(state.withColumnRenamed("node_id", "nbr"), "nbr")
-        means = mean_vectors(sent, ["node", "edge_type"], "vector")
+        means = mean_vectors(sent, ["node", "edge_type"], "vector", dim=dim)
         both = means.join(state.withColumnRenamed("node_id", "node"), "node")
         own, agg, kind = F.col("vector"), F.col("mean_vector"), F.col("edge_type")
         out = relu_sum(own, agg, None)
@@ -215,7 +216,7 @@ def sage_mean(nodes: DataFrame, edges: DataFrame, layers: int = 2,
                 out = F.when(kind == t, relu_sum(
                     matvec((self_weights or {}).get(t), own), matvec((neighbor_weights or {}).get(t), agg),
                     (bias or {}).get(t))).otherwise(out)
-        updated = mean_vectors(both.select("node", out.alias("h")), "node", "h")
+        updated = mean_vectors(both.select("node", out.alias("h")), "node", "h", dim=dim)
         lonely = state.join(updated, state.node_id == updated.node, "left").select(
             "node_id", F.coalesce("mean_vector", F.transform("vector", lambda x: F.greatest(x, F.lit(0.0)))).alias("vector"))
         # Both joins of the next layer read the state, so it is cut here rather than computed twice.

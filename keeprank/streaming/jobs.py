@@ -60,29 +60,34 @@ def dedup_within(events: DataFrame, keys: list[str], delay: str = "4 hours") ->
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def seen_items(events: DataFrame, slots: int = 4, slot_seconds: int = 3600) -> DataFrame:
+def seen_items(events: DataFrame, slots: int = 4, slot_seconds: int = 3600, delay: str = "1 hour", parts: int = 4) -> DataFrame:
     """Slot-exact check whether (user, item) was met in the current or the previous ``slots - 1`` slots.
 
-    State per pair is the last slot; it expires once no later event can fall into the window.
+    State is kept per user and item part (few groups with vectorised work in each, and a busy user is still
+    split): the last slot of every item that can matter to an event at or after the watermark.
     """
 
     def check(key, frames, state: GroupState):
+        floor = state.getCurrentWatermarkMs() // (slot_seconds * 1000) - slots
+        kept = dict(zip(*state.get)) if state.exists else {}
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        pdf = pd.concat(list(frames)).sort_values(["item_id", "ts", "event_id"])
         slot = pdf["ts"].astype("datetime64[s]").astype("int64") // slot_seconds
-        before = slot.shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((int(slot.iloc[-1]),))
-        # Never before the current watermark, which would be refused.
-        expiry = (int(slot.iloc[-1]) + slots) * slot_seconds * 1000
+        before = slot.groupby(pdf["item_id"]).shift(1)
+        before = before.fillna(pdf["item_id"].map(kept)).astype("float64")
+        kept.update(slot.groupby(pdf["item_id"]).max().to_dict())
+        kept = {item: int(s) for item, s in kept.items() if s > floor}
+        state.update((list(kept), list(kept.values())))
+        expiry = (max(kept.values(), default=0) + slots) * slot_seconds * 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "slot": slot, "seen_recently": (slot - before < slots).fillna(False).astype(bool)})
+        seen = (slot - before).between(0, slots - 1)
+        yield pd.DataFrame({"event_id": pdf["event_id"], "slot": slot, "seen_recently": seen.astype(bool)})
 
-    return events.withWatermark("ts", "1 hour").groupBy("user_id", "item_id").applyInPandasWithState(
-        check, "event_id BIGINT, slot BIGINT, seen_recently BOOLEAN", "last_slot BIGINT", "append",
+    split = events.withWatermark("ts", delay).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    return split.groupBy("user_id", "part").applyInPandasWithState(
+        check, "event_id BIGINT, slot BIGINT, seen_recently BOOLEAN", "items ARRAY<BIGINT>, slots ARRAY<BIGINT>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
