@@ -90,11 +90,20 @@ def feature_lookup(entities: DataFrame, views: dict[str, DataFrame], refs: list[
 
 
 def feature_asof(events: DataFrame, features: DataFrame, key: str, value: str) -> DataFrame:
-    """Feature value known at event time: one ordered pass over events and updates per entity."""
-    log = features.select(key, "ts", F.lit(0).alias("_kind"), F.col(value).alias("_value"),
-                          F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"))
-    asked = events.select(key, "ts", F.lit(1).alias("_kind"), F.lit(None).cast(features.schema[value].dataType).alias("_value"),
-                          "event_id")
-    w = Window.partitionBy(key).orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return log.unionByName(asked).withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter(
-        "_kind = 1").select(key, "event_id", "ts", value)
+    """Feature value known at event time.
+
+    Each entity's log is cut by day: the newest value of every day is carried to the following days through a
+    window of one row per day, and only the rows of one day are ordered together. A hot entity is thus many
+    small groups.
+    """
+    updates = features.filter(F.col(value).isNotNull()).select(key, "ts", F.col(value).alias("_value"), F.to_date("ts").alias("_day"))
+    asked = events.select(key, "event_id", "ts", F.to_date("ts").alias("_day"))
+    newest = updates.groupBy(key, "_day").agg(F.max_by("_value", "ts").alias("_last"))
+    days = asked.select(key, "_day").distinct().join(newest, [key, "_day"], "full")
+    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(key, "_day", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    log = updates.withColumn("_kind", F.lit(0)).unionByName(asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    today = Window.partitionBy(key, "_day").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumn("_today", F.last("_value", ignorenulls=True).over(today)).filter("_kind = 1")
+    return seen.join(carried, [key, "_day"], "left").select(
+        key, "event_id", "ts", F.coalesce("_today", "_carry").alias(value))
