@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keeprank.llm.huffman import token_file_digest
 from keeprank.llm.near_vectors import near_vectors
+from keeprank.llm.packing import pack_documents
 from keeprank.llm.topk import exact_top_k
 from keeprank.llm.vectors import read_embeddings
 from keeprank.session import pin_utc
@@ -30,6 +32,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op3_huffman_tokens")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(documents(spark, sf_dir))
+
+
+@query("op7_hierarchical_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 @query("op9_near_vectors", """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
