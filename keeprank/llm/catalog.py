@@ -11,6 +11,7 @@ from keeprank.llm.huffman import token_file_digest
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
 from keeprank.llm.topk import exact_top_k
+from keeprank.llm.toxicity import toxicity_scores
 from keeprank.llm.vectors import read_embeddings
 from keeprank.session import pin_utc
 
@@ -37,6 +38,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), pin_utc(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op7_hierarchical_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
