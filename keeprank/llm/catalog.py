@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.huffman import token_file_digest
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
@@ -33,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_lattice_likelihood")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the rows whose crc32(doc_id as text) mod 5 is not 1."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = lattice_scores(documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_huffman_tokens")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
