@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.huffman import token_file_digest
+from keeprank.llm.line_chunks import drop_repeated_chunks
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
 from keeprank.llm.topk import exact_top_k
@@ -57,6 +58,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+@query("op8_line_chunks", """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h, length(l) - length(replace(l, ' ', '')) + 1 AS w FROM line
+), ended AS (
+  SELECT *, coalesce(lead(w) OVER d >= 50, true) OR w >= 50 OR (coalesce(lag(h) OVER d, 0) * 1000003 + h) % 3 = 0 AS cut
+  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) - CAST(cut AS INTEGER) AS c FROM ended
+), chunk AS (
+  SELECT doc_id, c, string_agg(l, chr(10) ORDER BY i) AS body, count(*) AS size, sum(w) AS words FROM numbered GROUP BY doc_id, c
+), ranked AS (
+  SELECT *, words >= 20 AND (size >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone
+  FROM chunk
+)
+SELECT doc_id, CAST(sum(size) AS BIGINT) AS lines_before, CAST(sum(CASE WHEN gone THEN size ELSE 0 END) AS BIGINT) AS lines_removed,
+  sha256(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS text_sha256
+FROM ranked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_repeated_chunks(documents(spark, sf_dir).select("doc_id", "text"), counts=True, drop_emptied=False)
+    return cleaned.select("doc_id", "lines_before", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op9_near_vectors", """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
