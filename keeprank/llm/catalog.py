@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keeprank.llm.lattice import lattice_scores
+from keeprank.llm.disclosure import personal_data
 from keeprank.llm.huffman import token_file_digest
+from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.line_chunks import drop_repeated_chunks
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
@@ -43,6 +44,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op2_disclosure")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 @query("op3_huffman_tokens")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
