@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keeprank.llm.disclosure import personal_data
+from keeprank.llm.forest import near_duplicates
 from keeprank.llm.huffman import token_file_digest
 from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.line_chunks import drop_repeated_chunks
@@ -59,6 +60,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), pin_utc(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op6_lsh_forest", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), piece AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM piece a JOIN piece b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (SELECT a, b, c = na AND c = nb AS same FROM shared WHERE c >= 0.8 * (na + nb - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), head AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), own AS (SELECT a, count(*) AS n_links, min(b) FILTER (same) AS twin FROM link GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
+FROM documents JOIN head ON doc_id = head.a LEFT JOIN own ON doc_id = own.a
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query("op7_hierarchical_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
