@@ -47,6 +47,9 @@ class Chunks(dict):
     def packed(self, ids) -> bytes:
         return array.array(self.code, ids).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Called with the distinct words of a slice before they are looked up, each as a chunk with a space before it."""
+
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -77,9 +80,12 @@ class TextEncoder:
     """Encodes Arrow columns of texts; equal chunks of a slice are looked up once."""
 
     def __init__(self, path: str):
-        self.chunks = Chunks(path)
+        self.chunks = self.table(path)
         self.dtype = self.chunks.dtype
 
+    def table(self, path: str) -> Chunks:
+        return Chunks(path)
+
     def slices(self, texts: pa.Array):
         """Cut a column so that a slice has about ``SLICE_BYTES`` of text; one text is never cut."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -100,6 +106,7 @@ class TextEncoder:
         codes = coded.indices.to_numpy().copy()
         uniq = coded.dictionary.to_pylist()
         known = self.chunks
+        known.learn(uniq)
         found = [known[" " + w] for w in uniq]
         odd = np.fromiter((v is None for v in found), bool, len(found))
         found = [v or b"" for v in found]
@@ -112,6 +119,7 @@ class TextEncoder:
             flags = odd[codes]
             flags[firsts] = False
             strange |= np.add.reduceat(flags, firsts) > 0
+        self.last = codes.copy(), bounds, uniq, strange
         for i in np.flatnonzero(strange):
             codes[bounds[i]:bounds[i + 1]] = blank
             opening[i] = known.whole(texts[int(i)].as_py())
@@ -129,10 +137,11 @@ class TextEncoder:
         return flat[at], ends[bounds]
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, kind: type = TextEncoder) -> TextEncoder:
     """One per worker process and file. Functions reach workers by value, with new globals in every task, so what is to
     outlive a task hangs on a module of its own."""
     kept = sys.modules.setdefault("_text_encoders", types.ModuleType("_text_encoders")).__dict__
-    if path not in kept:
-        kept[path] = TextEncoder(path)
-    return kept[path]
+    name = f"{kind.__name__}:{path}"
+    if name not in kept:
+        kept[name] = kind(path)
+    return kept[name]

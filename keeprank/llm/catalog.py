@@ -14,6 +14,7 @@ from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.line_chunks import drop_repeated_chunks
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
+from keeprank.llm.sentencepieces import encode_pieces
 from keeprank.llm.topk import exact_top_k
 from keeprank.llm.toxicity import toxicity_scores
 from keeprank.llm.vectors import read_embeddings
@@ -55,6 +56,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
 
 
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), pin_utc(spark).read.parquet(f"{sf_dir}/labels.parquet"))
