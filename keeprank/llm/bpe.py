@@ -22,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """A copy of a column, with null as empty, whose buffers start at its first text. Some kernels read a slice's buffers from
+    their start once it is cast to large strings."""
+    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
 class Chunks(dict):
     """Ids of chunks, as bytes, computed at first sight. A chunk is a run of text up to the next space, with the space before it.
 
@@ -96,7 +102,7 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts); null counts as empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = fresh(texts)
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
         words = pc.split_pattern(texts, " ")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keeprank.llm.bpe import tokenizer_path
+from keeprank.llm.bpe import fresh, tokenizer_path
 from keeprank.llm.pieces import NORMAL, read_model
 from keeprank.llm.storage import settle
 
@@ -145,7 +145,7 @@ def existing_vocabulary(path: str | None = None) -> Lattice:
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(code of every token, distinct tokens, offsets of the texts): A-Z in lower case, cut at ASCII white space; null is empty."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(fresh(texts)))
     bounds = words.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
     coded = words.flatten().dictionary_encode()
