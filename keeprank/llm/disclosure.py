@@ -76,7 +76,8 @@ def terms_near(text: Column, spans: Column, reach: int = CONTEXT_CHARS) -> Colum
         # A word at either edge may be cut in two; it is left out unless the text starts there.
         cut = F.when(low == 0, F.lit(0)).otherwise(F.length(F.regexp_extract(area, r"^\p{L}*", 0)))
         words = F.filter(matches(area, TERM), lambda w: (w["start"] >= cut) & ((w["end"] < F.length(area)) | (low + w["end"] == F.length(text))))
-        free = F.filter(words, lambda w: ~F.exists(spans, lambda o: (low + w["start"] < o["end"]) & (o["start"] < low + w["end"])))
+        beside = F.filter(spans, lambda o: (low < o["end"]) & (o["start"] < s["end"] + reach))
+        free = let(beside, lambda b: F.filter(words, lambda w: ~F.exists(b, lambda o: (low + w["start"] < o["end"]) & (o["start"] < low + w["end"]))))
         return F.transform(free, lambda w: F.struct(
             F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"),
             (low + w["start"]).alias("start"), (low + w["end"]).alias("end")))

@@ -17,6 +17,7 @@ SAMPLE_ROWS = 20_000
 MOST_CELLS = 4_096
 BLOCK_ROWS = 1_024
 LOOK_ROWS = 4_096
+VISIT_CELLS = 2_000_000
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -46,8 +47,7 @@ def visits(x: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.ndarray
     """
     sims = x @ centers.T
     home = sims.argmax(axis=1)
-    gap = np.linalg.norm(centers[home][:, None, :] - centers[None, :, :], axis=2) if len(centers) * len(x) < 4e5 else \
-        np.sqrt(np.maximum(2 - 2 * (centers @ centers.T), 0))[home]
+    gap = np.sqrt(np.maximum(2 - 2 * (centers @ centers.T), 0) + 1e-12)[home]
     away = sims[np.arange(len(x)), home][:, None] - sims
     return home, away <= reach * gap + 1e-9
 
@@ -92,10 +92,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
                 c = centers.get(int(width))
                 if c is None:
                     c = np.ones((1, int(width))) / math.sqrt(int(width))
-                home, look = visits(unit(stack(g["v"])), c, reach)
-                r, cell = np.nonzero(look)
-                out.append(pd.DataFrame({"rep_id": g["rep_id"].to_numpy()[r], "label": g["label"].to_numpy()[r],
-                                         "width": int(width), "cell": cell, "home": home[r] == cell}))
+                step = max(1, VISIT_CELLS // len(c))
+                for some in (g.iloc[lo:lo + step] for lo in range(0, len(g), step)):
+                    home, look = visits(unit(stack(some["v"])), c, reach)
+                    r, cell = np.nonzero(look)
+                    out.append(pd.DataFrame({"rep_id": some["rep_id"].to_numpy()[r], "label": some["label"].to_numpy()[r],
+                                             "width": int(width), "cell": cell, "home": home[r] == cell}))
             if out:
                 yield pd.concat(out)
 
