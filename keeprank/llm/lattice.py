@@ -243,6 +243,19 @@ class WordModel:
         return (np.logaddexp(own, math.log(share) + pieces) + math.log1p(-self.end)) / math.log(10.0)
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the most frequent words: all whose count reaches a limit, which a histogram of counts by their
+    logarithm (a few thousand rows at any size) gives. Whole steps of the histogram are taken, none where the first has too many."""
+    step = F.floor(F.log2(F.col("seen")) * 16).cast("int")
+    total, limit = 0, None
+    for row in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += row["n"]
+        if total > most:
+            break
+        limit = row["step"]
+    return words.filter(step >= limit if limit is not None else F.lit(False))
+
+
 def lattice_scores(docs: DataFrame, learns: Column, vocabulary: Lattice | None = None, common: int = COMMON_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, learned, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -253,7 +266,7 @@ def lattice_scores(docs: DataFrame, learns: Column, vocabulary: Lattice | None =
     word unigram with half-count smoothing. Rows where ``learns`` is null or false are not learned from.
     Null and empty texts are one end. Rows that repeat an id are scored each. No rows give none.
 
-    The scores of the ``common`` most frequent words go to every task (bounded by that number); all other words
+    The scores of at most ``common`` most frequent words go to every task; all other words
     are joined by a shuffle, where each is rare.
     """
     counted = settle(count_words(docs, learns), "words")
@@ -273,7 +286,7 @@ def lattice_scores(docs: DataFrame, learns: Column, vocabulary: Lattice | None =
 
     words = settle(counted.filter("word IS NOT NULL").mapInPandas(
         weigh, "word string, trained long, seen long, lat double"), "word-scores")
-    top = words.orderBy(F.desc("seen"), "word").limit(common).toPandas()
+    top = most_frequent(words, common).toPandas()
     places = {w: i for i, w in enumerate(top["word"])}
     # One row more for words that are not among the common ones: they add nothing here.
     known = np.append(top["trained"].to_numpy(dtype=np.int64) > 0, False)
