@@ -15,6 +15,7 @@ from keeprank.session import write_and_read
 
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 4_096
+CELL_ROWS = 8_192
 BLOCK_ROWS = 1_024
 LOOK_ROWS = 4_096
 VISIT_CELLS = 2_000_000
@@ -71,7 +72,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     spark = vectors.sparkSession
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7 if reach is None else reach
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
-                          F.col(vector_col).cast("array<double>").alias("v"))
+                          F.col(vector_col).alias("v"))
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("v"))
                          & F.exists("v", lambda x: x != 0.0))
     once = usable.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("s")).select("vec_id", "s.label", "s.v")
@@ -79,7 +80,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     classes = members.groupBy("label", "v").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"))
     classes = write_and_read(classes, "near-classes")
     total = classes.count()
-    k = cells or max(1, min(MOST_CELLS, round(math.sqrt(total) / 8)))
+    k = cells or max(1, min(MOST_CELLS, total // CELL_ROWS))
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     sample = classes.filter(F.pmod(F.xxhash64(F.lit(5), "rep_id"), 1_000_000) < int(share * 1_000_000)).select(
         F.size("v").alias("width"), "v").limit(2 * SAMPLE_ROWS).toPandas()
