@@ -35,6 +35,8 @@ class Chunks(dict):
     characters, or a special token's text occurs. Texts that hold one are encoded whole.
     """
 
+    most = CACHE_CHUNKS
+
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -103,7 +105,7 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts); null counts as empty."""
         texts = fresh(texts)
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.chunks) > self.chunks.most:
             self.chunks.clear()
         words = pc.split_pattern(texts, " ")
         bounds = words.offsets.to_numpy().astype(np.int64)
