@@ -9,7 +9,6 @@ from keeprank.llm.line_chunks import let
 from keeprank.llm.storage import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT_CHARS = 100
 MIN_TEXTS = 3
 DISCLOSED = 0.9
 REMOVED = 0.98
@@ -68,67 +67,90 @@ def base_spans(text: Column) -> Column:
         kind(3, digit & F.contains(text, F.lit("+")), PHONE, lambda v: size(v, 9, 15))))
 
 
-def terms_near(text: Column, spans: Column, reach: int = CONTEXT_CHARS) -> Column:
-    """Array of (entity, term, start, end): the words within ``reach`` characters of each span, in lower case, outside all spans."""
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach, F.lit(0))
-        area = F.substring(text, low + 1, s["end"] + reach - low)
-        # A word at either edge may be cut in two; it is left out unless the text starts there.
-        cut = F.when(low == 0, F.lit(0)).otherwise(F.length(F.regexp_extract(area, r"^\p{L}*", 0)))
-        words = F.filter(matches(area, TERM), lambda w: (w["start"] >= cut) & ((w["end"] < F.length(area)) | (low + w["end"] == F.length(text))))
-        beside = F.filter(spans, lambda o: (low < o["end"]) & (o["start"] < s["end"] + reach))
-        free = let(beside, lambda b: F.filter(words, lambda w: ~F.exists(b, lambda o: (low + w["start"] < o["end"]) & (o["start"] < low + w["end"]))))
-        return F.transform(free, lambda w: F.struct(
-            F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"),
-            (low + w["start"]).alias("start"), (low + w["end"]).alias("end")))
+def entity_of(span: Column) -> Column:
+    return F.concat(span["rank"].cast("string"), F.lit(":"), F.lower(span["value"]))
 
-    return F.flatten(F.transform(spans, around))
+
+def terms_in(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
+def term_places(text: Column, spans: Column, terms: Column) -> Column:
+    """Array of (start, rank, end, removed): every word of ``text`` whose lower case is a key of the map ``terms`` (its disclosure), outside all spans."""
+    cut = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("g"))
+
+    def placed(s: Column) -> Column:
+        chosen = F.filter(F.sequence(F.lit(0), F.size(s["m"])), lambda k: (k < F.size(s["m"])) & F.map_contains_key(terms, F.lower(F.coalesce(F.get(s["m"], k), F.lit("")))))
+        # Texts before a place are joined, not summed word by word: long texts have many words and few chosen ones.
+        start = lambda k: F.length(F.array_join(F.slice(s["g"], 1, k + 1), "")) + F.length(F.array_join(F.slice(s["m"], 1, k), ""))
+        return F.transform(chosen, lambda k: let(start(k), lambda at: F.struct(
+            at.alias("start"), F.lit(4).alias("rank"), (at + F.length(F.get(s["m"], k))).alias("end"),
+            (F.element_at(terms, F.lower(F.get(s["m"], k))) >= REMOVED).alias("removed"))))
+
+    return F.filter(let(cut, placed), lambda w: ~F.exists(spans, lambda o: (w["start"] < o["end"]) & (o["start"] < w["end"])))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(id, digest, spans, near), settled: the pattern spans of every text and the terms beside them; null texts have none."""
+    """(id, digest, spans, t), settled: the pattern spans of every text, and the text where it has any; null texts have none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("id"), text.alias("t")).select(
         "id", F.xxhash64("t").alias("digest"), "t", F.explode(F.array(base_spans(F.col("t")))).alias("spans"))
-    near = F.when(F.size("spans") > 0, terms_near(F.col("t"), F.col("spans")))
-    return settle(rows.select("id", "digest", "spans", near.alias("near")), "spans")
+    return settle(rows.select("id", "digest", "spans", F.when(F.size("spans") > 0, F.col("t")).alias("t")), "spans")
+
+
+def same_text(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """``a`` with the columns of ``b(i, g, …)`` for the same id and digest."""
+    return a.join(b, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), how)
+
+
+def holders_of(found: DataFrame) -> DataFrame:
+    """(id, digest, entity): the entities of each text."""
+    return found.filter("t IS NOT NULL").select("id", "digest", F.explode(
+        F.array_distinct(F.transform("spans", entity_of))).alias("entity")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosed: float = DISCLOSED, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(entity, term, disclosure): pairs at or over the threshold.
 
     With probabilities over documents, disclosure = PMI(entity, term) / IC(entity) = 1 + log P(entity | term) / -log P(entity): 1 if
-    the term stands only in documents with the entity beside it, 0 if it tells nothing. A pair needs ``min_texts``
-    different texts, so that copies of one document prove nothing. An entity that is in every document is not disclosed by anything.
+    the term stands only in documents that hold the entity, 0 if it tells nothing. Words count wherever they stand in a document, outside
+    all spans. A pair needs ``min_texts`` different texts, so that copies of one document prove nothing. An entity that is in every
+    document is not disclosed by anything.
     """
-    mentions = found.filter("near IS NOT NULL").select("id", "digest", F.inline("near"))
-    pairs = mentions.select("entity", "term", "digest", "id").distinct().groupBy("entity", "term", "digest").agg(
-        F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).filter(
-        F.col("texts") >= min_texts)
-    entity = F.concat(F.col("s.rank").cast("string"), F.lit(":"), F.lower("s.value"))
-    entities = found.select("id", "digest", F.explode("spans").alias("s")).select("id", "digest", entity.alias("entity")).distinct().groupBy(
-        "entity").agg(F.count("*").alias("documents"))
+    held = holders_of(found)
+    entities = settle(held.groupBy("entity", "digest").agg(F.count("*").alias("n")).groupBy("entity").agg(
+        F.sum("n").alias("documents"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "documents"), "entities")
+    # No pair has more texts than its entity, so terms are only listed for entities with enough of them.
+    listed = held.join(entities.select("entity"), "entity").groupBy(F.col("id").alias("i"), F.col("digest").alias("g")).agg(
+        F.collect_set("entity").alias("entities"))
+    terms = terms_in(masked(F.col("t"), F.transform("spans", plain), F.lit(" ")))
+    own = same_text(found.filter("t IS NOT NULL").dropDuplicates(["id", "digest"]), listed).select(
+        "digest", "entities", F.explode(terms).alias("term")).select("digest", "term", F.explode("entities").alias("entity"))
+    pairs = own.groupBy("entity", "term", "digest").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     total = found.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
+    frequency = docs.select(F.explode(terms_in(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
     scored = pairs.join(entities, "entity").join(frequency, "term").withColumn(
         "information", -F.log(F.col("documents") / F.lit(max(total, 1))))
     disclosure = 1 + F.log(F.least(F.col("both") / F.col("holders"), F.lit(1.0))) / F.col("information")
     return scored.filter("information > 0").select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= disclosed)
 
 
+def plain(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), F.lit(False).alias("removed"))
+
+
 def all_spans(docs: DataFrame, disclosed: float = DISCLOSED, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(id, digest, spans, every): ``spans`` by pattern; ``every`` with the disclosing terms, as (start, rank, end, removed)."""
+    """(id, digest, spans, every): ``spans`` by pattern; ``every`` with the disclosing terms wherever they stand in a text that holds
+    their entity, as (start, rank, end, removed)."""
     found = find_spans(docs)
-    risky = disclosing_terms(docs, found, disclosed, min_texts)
-    mentions = found.filter("near IS NOT NULL").select("id", "digest", F.inline("near"))
-    terms = mentions.join(risky, ["entity", "term"]).groupBy("id", "digest", "start", "end").agg(
-        F.max("disclosure").alias("d")).groupBy(F.col("id").alias("i"), F.col("digest").alias("g")).agg(
-        F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", (F.col("d") >= REMOVED).alias("removed"))).alias("terms"))
-    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(False).alias("removed")))
+    risky = settle(disclosing_terms(docs, found, disclosed, min_texts), "terms")
+    terms = holders_of(found).join(risky, "entity").groupBy(F.col("id").alias("i"), F.col("digest").alias("g"), "term").agg(
+        F.max("disclosure").alias("d")).groupBy("i", "g").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start:INT,rank:INT,end:INT,removed:BOOLEAN>>)")
-    joined = found.join(terms, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), "left")
-    return joined.select("id", "digest", "spans", F.array_sort(F.concat(plain, F.coalesce("terms", none))).alias("every"))
+    places = F.when(F.col("terms").isNull(), none).otherwise(term_places(F.col("t"), F.col("spans"), F.col("terms")))
+    return same_text(found, terms, "left").select("id", "digest", "spans", F.array_sort(F.concat(F.transform("spans", plain), places)).alias("every"))
 
 
 def written(spans: Column) -> Column:
@@ -139,8 +161,8 @@ def written(spans: Column) -> Column:
 def personal_data(docs: DataFrame, disclosed: float = DISCLOSED, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
-    Counts and ``base_sha256`` are of the spans found by pattern; ``spans`` also holds the terms (kind ``term``) that stand near such a span and disclose
-    it by ``disclosing_terms``. Null and empty texts have no spans. Rows that repeat an id have a result each. No rows give none.
+    Counts and ``base_sha256`` are of the spans found by pattern; ``spans`` also holds the terms (kind ``term``) of the same text that disclose
+    one of them by ``disclosing_terms``. Null and empty texts have no spans. Rows that repeat an id have a result each. No rows give none.
     """
     of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return all_spans(docs, disclosed, min_texts).select(
@@ -149,15 +171,15 @@ def personal_data(docs: DataFrame, disclosed: float = DISCLOSED, min_texts: int
         F.size(F.filter("every", lambda s: s["rank"] == 4)).cast("long").alias("n_term"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced: by the name of its kind in brackets, or by nothing where ``removed``. Overlapping spans are one."""
+def masked(text: Column, spans: Column, mark: Column | None = None) -> Column:
+    """``text`` with each span replaced: by ``mark``, else by the name of its kind in brackets, or by nothing where ``removed``. Overlapping spans are one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def build(s: Column) -> Column:
         ends = F.transform(s, lambda x: x["end"])
         covered = lambda k: F.coalesce(F.array_max(F.slice(ends, 1, k)), F.lit(0))
         parts = F.transform(s, lambda x, k: let(covered(k), lambda c: F.when(x["start"] >= c, F.concat(
-            F.substring(text, c + 1, x["start"] - c), F.when(x["removed"], F.lit("")).otherwise(names[x["rank"]]))).otherwise(F.lit(""))))
+            F.substring(text, c + 1, x["start"] - c), F.when(x["removed"], F.lit("")).otherwise(names[x["rank"]] if mark is None else mark))).otherwise(F.lit(""))))
         return F.concat(F.array_join(parts, ""), F.substring(text, covered(F.size(s)) + 1, F.length(text)))
 
     return let(spans, build)

@@ -219,3 +219,16 @@ def test_overlapping_spans_are_masked_once(spark):
     texts = [(1, "now or 1.2.3.4@h.co, 10.0.0.1."), (2, "x@y.z"), (3, "end +12 345 678 901")]
     clean = {r["doc_id"]: r["text"] for r in sanitise(docs_of(spark, texts)).collect()}
     assert not any(c.isdigit() for c in "".join(clean.values())) and clean[2] == "[EMAIL]" and clean[3].startswith("end [")
+
+
+def test_disclosing_terms_far_from_their_entity(spark):
+    rng = random.Random(7)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    texts = [(i, f"Zorblax {filler(60)} boss@corp.example {filler(60)} ZORBLAX, {filler(5)} zorblax") for i in range(6)]
+    texts += [(10 + i, filler(60)) for i in range(60)]
+    rows = {r["doc_id"]: r for r in personal_data(docs_of(spark, texts)).collect()}
+    for i, t in texts:
+        found = [t[int(a):int(b)] for k, a, b in (s.split(":") for s in rows[i]["spans"].split(",") if s) if k == "term"]
+        assert found == (["Zorblax", "ZORBLAX", "zorblax"] if i < 6 else [])
+    clean = {r["doc_id"]: r["text"] for r in sanitise(docs_of(spark, texts)).collect()}
+    assert not any("zorblax" in t.lower() for t in clean.values())
