@@ -9,7 +9,7 @@ from keeprank.llm.line_chunks import let
 from keeprank.llm.storage import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_TEXTS = 3
+MIN_TEXTS = 2
 DISCLOSED = 0.9
 REMOVED = 0.98
 
@@ -104,37 +104,56 @@ def same_text(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), how)
 
 
+def classes_of(span: Column) -> Column:
+    """What an entity is generalised to: itself, the mail domain, the network, the first digits of a number, and its kind."""
+    value, number = F.lower(span["value"]), digits(span["value"])
+    wider = (F.when(span["rank"] == 0, F.array(F.concat(F.lit("@"), F.substring_index(value, "@", -1))))
+             .when(span["rank"] == 1, F.array(*[F.concat(F.substring_index(value, ".", n), F.lit(".")) for n in (3, 2)]))
+             .otherwise(F.array(*[F.concat(F.substring(number, 1, n), F.lit("…")) for n in (6, 4)])))
+    rank = span["rank"].cast("string")
+    return F.concat(F.array(entity_of(span), rank), F.transform(wider, lambda v: F.concat(rank, F.lit(":"), v)))
+
+
 def holders_of(found: DataFrame) -> DataFrame:
-    """(id, digest, entity): the entities of each text."""
-    return found.filter("t IS NOT NULL").select("id", "digest", F.explode(
-        F.array_distinct(F.transform("spans", entity_of))).alias("entity")).distinct()
+    """(id, digest, entity, class): the entities of each text, each with every class that it belongs to."""
+    each = found.filter("t IS NOT NULL").select("id", "digest", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(
+        entity_of(s).alias("entity"), classes_of(s).alias("classes"))))).alias("e"))
+    return each.select("id", "digest", "e.entity", F.explode("e.classes").alias("class")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosed: float = DISCLOSED, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(entity, term, disclosure): pairs at or over the threshold.
 
-    With probabilities over documents, disclosure = PMI(entity, term) / IC(entity) = 1 + log P(entity | term) / -log P(entity): 1 if
-    the term stands only in documents that hold the entity, 0 if it tells nothing. Words count wherever they stand in a document, outside
-    all spans. A pair needs ``min_texts`` different texts, so that copies of one document prove nothing. An entity that is in every
-    document is not disclosed by anything.
+    With probabilities over documents, disclosure = PMI(class, term) / IC(entity) = (log P(class | term) - log P(class)) / -log P(entity), the
+    largest over the classes of the entity, of which it is one itself: 1 if the term stands only in documents that hold the entity, 0 if it
+    tells nothing. A term that tells the class of a rare entity tells as much of the entity as the class does. Words count wherever they stand
+    in a document, outside all spans. Copies of one document prove nothing: a pair needs ``min_texts`` different texts, and so many of
+    them that chance would not be expected to make one such pair among all that were compared: texts * IC(class) >= log(pairs). An entity that is
+    in every document is not disclosed by anything.
     """
+    total = F.lit(max(found.count(), 1))
     held = holders_of(found)
-    entities = settle(held.groupBy("entity", "digest").agg(F.count("*").alias("n")).groupBy("entity").agg(
-        F.sum("n").alias("documents"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "documents"), "entities")
-    # No pair has more texts than its entity, so terms are only listed for entities with enough of them.
-    listed = held.join(entities.select("entity"), "entity").groupBy(F.col("id").alias("i"), F.col("digest").alias("g")).agg(
-        F.collect_set("entity").alias("entities"))
+    classes = held.select("id", "digest", "class").distinct().groupBy("class", "digest").agg(F.count("*").alias("n")).groupBy("class").agg(
+        F.count("*").alias("texts"), (-F.log(F.sum("n") / total)).alias("information"))
+    own = classes.select(F.col("class").alias("entity"), F.col("information").alias("whole"))
+    # No pair has more texts than its class, nor a larger PMI than the information of the class: terms are only listed where both can do.
+    live = settle(held.select("entity", "class").distinct().join(classes.filter(F.col("texts") >= min_texts), "class").join(own, "entity").filter(
+        (F.col("whole") > 0) & (F.col("information") >= disclosed * F.col("whole"))).select("entity", "class", "information", "whole"), "classes")
+    of_class = live.select("class", "information").distinct()
+    listed = held.select("id", "digest", "class").distinct().join(of_class.select("class"), "class").groupBy(
+        F.col("id").alias("i"), F.col("digest").alias("g")).agg(F.collect_set("class").alias("classes"))
     terms = terms_in(masked(F.col("t"), F.transform("spans", plain), F.lit(" ")))
-    own = same_text(found.filter("t IS NOT NULL").dropDuplicates(["id", "digest"]), listed).select(
-        "digest", "entities", F.explode(terms).alias("term")).select("digest", "term", F.explode("entities").alias("entity"))
-    pairs = own.groupBy("entity", "term", "digest").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
-    total = found.count()
+    listed_terms = same_text(found.filter("t IS NOT NULL").dropDuplicates(["id", "digest"]), listed).select(
+        "digest", "classes", F.explode(terms).alias("term")).select("digest", "term", F.explode("classes").alias("class"))
+    pairs = settle(listed_terms.groupBy("class", "term", "digest").agg(F.count("*").alias("n")).groupBy("class", "term").agg(
+        F.sum("n").alias("both"), F.count("*").alias("texts")), "pairs")
+    compared = F.log(F.lit(max(pairs.count(), 1)))
+    proven = pairs.filter(F.col("texts") >= min_texts).join(of_class, "class").filter(F.col("texts") * F.col("information") >= compared)
     frequency = docs.select(F.explode(terms_in(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").withColumn(
-        "information", -F.log(F.col("documents") / F.lit(max(total, 1))))
-    disclosure = 1 + F.log(F.least(F.col("both") / F.col("holders"), F.lit(1.0))) / F.col("information")
-    return scored.filter("information > 0").select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= disclosed)
+    shared = proven.select("class", "term", "both").join(frequency, "term")
+    told = F.col("information") + F.log(F.least(F.col("both") / F.col("holders"), F.lit(1.0)))
+    return shared.join(live, "class").select("entity", "term", (told / F.col("whole")).alias("disclosure")).groupBy("entity", "term").agg(
+        F.least(F.max("disclosure"), F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= disclosed)
 
 
 def plain(span: Column) -> Column:
@@ -146,7 +165,7 @@ def all_spans(docs: DataFrame, disclosed: float = DISCLOSED, min_texts: int = MI
     their entity, as (start, rank, end, removed)."""
     found = find_spans(docs)
     risky = settle(disclosing_terms(docs, found, disclosed, min_texts), "terms")
-    terms = holders_of(found).join(risky, "entity").groupBy(F.col("id").alias("i"), F.col("digest").alias("g"), "term").agg(
+    terms = holders_of(found).select("id", "digest", "entity").distinct().join(risky, "entity").groupBy(F.col("id").alias("i"), F.col("digest").alias("g"), "term").agg(
         F.max("disclosure").alias("d")).groupBy("i", "g").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start:INT,rank:INT,end:INT,removed:BOOLEAN>>)")
     places = F.when(F.col("terms").isNull(), none).otherwise(term_places(F.col("t"), F.col("spans"), F.col("terms")))

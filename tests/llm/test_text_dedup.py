@@ -232,3 +232,16 @@ def test_disclosing_terms_far_from_their_entity(spark):
         assert found == (["Zorblax", "ZORBLAX", "zorblax"] if i < 6 else [])
     clean = {r["doc_id"]: r["text"] for r in sanitise(docs_of(spark, texts)).collect()}
     assert not any("zorblax" in t.lower() for t in clean.values())
+
+
+def test_terms_of_rare_entities(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    text = lambda *own: " ".join([*(word() for _ in range(12)), *own, *(word() for _ in range(12))])
+    # One entity in two texts; and two entities of one domain, each in one text. Copies of one text prove nothing.
+    texts = [(i, text("quibblor", "rare@one.example")) for i in range(2)] + [(2 + i, text("vextral", f"u{i}@small.example")) for i in range(2)]
+    texts += [(10 + i, "somebody here copy@copy.example") for i in range(3)] + [(20 + i, text("everyday")) for i in range(2000)]
+    rows = {r["doc_id"]: r for r in personal_data(docs_of(spark, texts)).collect()}
+    for i, t in texts:
+        found = {t[int(a):int(b)] for k, a, b in (s.split(":") for s in rows[i]["spans"].split(",") if s) if k == "term"}
+        assert found == ({"quibblor"} if i < 2 else {"vextral"} if i < 4 else set()), (i, found)
