@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keeprank.llm.cross_polytope import nearest
 from keeprank.llm.disclosure import personal_data
 from keeprank.llm.forest import near_duplicates
 from keeprank.llm.huffman import token_file_digest
@@ -14,6 +15,7 @@ from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.line_chunks import drop_repeated_chunks
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
+from keeprank.llm.piece_table import fill_in_middle
 from keeprank.llm.sentencepieces import encode_pieces
 from keeprank.llm.topk import exact_top_k
 from keeprank.llm.toxicity import toxicity_scores
@@ -153,3 +155,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_cross_polytope")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_piece_table", """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256(concat('1:', doc_id)) AS h FROM documents
+), d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+    ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(documents(spark, sf_dir))

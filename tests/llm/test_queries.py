@@ -38,7 +38,7 @@ def rows_of(spark, key):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
