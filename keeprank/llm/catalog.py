@@ -13,6 +13,7 @@ from keeprank.llm.forest import near_duplicates
 from keeprank.llm.huffman import token_file_digest
 from keeprank.llm.lattice import lattice_scores
 from keeprank.llm.line_chunks import drop_repeated_chunks
+from keeprank.llm.maxscore import rank_documents
 from keeprank.llm.near_vectors import near_vectors
 from keeprank.llm.packing import pack_documents
 from keeprank.llm.piece_table import fill_in_middle
@@ -157,6 +158,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
 
 
+@query("op11_pair_maxscore", r"""
+WITH dt AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), it AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), g AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM dt
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM dt)
+  WHERE term IN (SELECT term FROM it) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT docs FROM g) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * (SELECT docs FROM g)) // (SELECT terms FROM g))))) AS BIGINT) AS score
+  FROM it JOIN p USING (term) JOIN w USING (term) GROUP BY item_id, doc_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op12_cross_polytope")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
