@@ -15,7 +15,7 @@ from keeprank.llm.bpe import DEFAULT_FILE, encoder, tokenizer_path
 
 TIERS = (128, 256, 512, 1024)
 END_ID = 0
-BUFFER_TOKENS = 1_000_000
+BUFFER_TOKENS = 250_000
 STEP_TOKENS = 65_536
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
           " tier int, step_group long")
@@ -136,6 +136,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
                         yield flush(False)
         if held:
             yield flush(True)
+        pa.default_memory_pool().release_unused()
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keeprank.llm.bpe import Chunks, TextEncoder, encoder, tokenizer_path
-from keeprank.llm.pieces import BPE, BYTE, CONTROL, NORMAL, USER_DEFINED, PieceModel, read_model
+from keeprank.llm.bpe import Cache, Chunks, TextEncoder, encoder, tokenizer_path
+from keeprank.llm.pieces import BPE, BYTE, NORMAL, USER_DEFINED, PieceModel, read_model
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
-WHOLE_CHECK = 16
 
 
 def merge_rules(model: PieceModel) -> list[tuple[str, str]]:
@@ -61,91 +60,81 @@ def _spaces():
 
 
 class PieceChunks(Chunks):
-    """Ids of words with the marker before them; equal words are encoded and checked once.
+    """Ids of words with the marker before them; equal words of a slice are encoded once.
 
     No piece of the model may hold a marker after another character (checked), so the words of a text are encoded independently. Words
-    that are empty or hold a marker themselves make their text be encoded whole.
+    that are empty or hold a marker themselves make their text be encoded whole. Only words that come back by decoding are kept.
     """
 
-    most = 400_000
-
-    def clear(self) -> None:
-        super().clear()
-        self.unequal.clear()
-        self.lossy.clear()
-
     def __init__(self, path: str):
-        dict.__init__(self)
         # The library reads both when its first batch starts.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
+        self.cache = Cache()
         self.spec = read_model(path)
         self.tokenizer = rebuild(self.spec)
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.code = "H" if len(self.spec.pieces) <= 65_536 else "I"
-        self.dtype = np.dtype(self.code)
+        self.dtype = np.dtype("H" if len(self.spec.pieces) <= 65_536 else "I")
         self.free = not any(MARK in p.lstrip(MARK) for p, _, kind in self.spec.pieces if kind in (NORMAL, USER_DEFINED)) and (
             self.spec.add_dummy_prefix and self.spec.escape_whitespaces)
-        self.controls = [p for p, _, kind in self.spec.pieces if kind in (CONTROL, USER_DEFINED) and p.strip(MARK)]
-        self.unequal: set[str] = set()  # words that the two libraries encode differently
-        self.lossy: set[str] = set()  # words that don't come back by decoding
+        self.lossy: set[str] = set()  # words of this slice that don't come back by decoding
 
     def odd(self, word: str) -> bool:
         return not self.free or not word or MARK in word or bool(self.spec.charsmap) and MARK in self.tokenizer.normalizer.normalize_str(word)[1:]
 
-    def learn(self, words: list[str]) -> None:
-        fresh = [w for w in words if " " + w not in self]
-        plain = [w for w in fresh if not self.odd(w)]
+    def led(self, words: pa.Array, spelled: list[str], often: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = self.cache.get(spelled)
+        new = [i for i, v in enumerate(found) if v is None]
+        odd = np.zeros(len(found), dtype=bool)
+        odd[[i for i in new if self.odd(spelled[i])]] = True
+        new = [i for i in new if not odd[i]]
+        plain = [spelled[i] for i in new]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for w, own, want, text in zip(plain, ids, self.judge.encode(plain, num_threads=1), back):
-            self[" " + w] = self.packed(own)
-            if own != want:
-                self.unequal.add(w)
+        self.lossy = set()
+        for i, w, own, text in zip(new, plain, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)):
+            found[i] = self.packed(own)
             if text != w:
                 self.lossy.add(w)
-        for w in set(fresh) - set(plain):
-            self[" " + w] = None
+            elif often[i]:
+                self.cache.put(w, found[i])
+        found = [v or b"" for v in found]
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(found), dtype=self.dtype), np.cumsum(length) - length, length, odd
 
-    def __missing__(self, chunk: str) -> bytes | None:
-        if chunk[:1] == " ":
-            self.learn([chunk[1:]])
-            return self[chunk]
-        return self[" " + chunk]
+    def bare(self, words: list[str]) -> list[bytes | None]:
+        """A text's first word has the marker too."""
+        fits = [not self.odd(w) for w in words]
+        ids = iter(self.tokenizer.encode_batch_fast([w for w, fit in zip(words, fits) if fit], add_special_tokens=False))
+        return [self.packed(next(ids).ids) if fit else None for fit in fits]
 
 
 class PieceEncoder(TextEncoder):
     def table(self, path: str) -> Chunks:
         return PieceChunks(path)
 
-    def verdicts(self, texts: pa.Array, ids: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(same ids as the reference library, text comes back) per text of the slice encoded last. Texts marked in ``whole``, and
-        those encoded whole, are compared whole; the others by their words."""
+    def verdicts(self, texts: pa.Array, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(same ids as the reference library, text comes back) per text of the slice encoded last. Each text is compared whole."""
         codes, bounds, uniq, strange = self.last
         c = self.chunks
-
-        def every(bad: set[str]) -> np.ndarray:
-            if not bad:
-                return np.ones(len(strange), dtype=bool)
-            hit = np.fromiter((w in bad for w in uniq), bool, len(uniq))[codes]
-            return np.add.reduceat(hit, bounds[:-1]) == 0
-
-        same, back = every(c.unequal), every(c.lossy)
-        for i in np.flatnonzero(strange | whole):
-            text, own = texts[int(i)].as_py() or "", ids[at[i]:at[i + 1]].tolist()
-            same[i] = c.judge.encode(text) == own
+        back = np.ones(len(strange), dtype=bool)
+        if c.lossy:
+            hit = np.fromiter((w in c.lossy for w in uniq), bool, len(uniq))[codes]
+            back = np.add.reduceat(hit, bounds[:-1]) == 0
+        same = np.zeros(len(strange), dtype=bool)
+        for i in range(len(strange)):
+            text, own = texts[i].as_py() or "", ids[at[i]:at[i + 1]]
+            same[i] = np.array_equal(np.array(c.judge.encode(text), dtype=np.int64), own)
             if strange[i]:
-                back[i] = c.tokenizer.decode(own, skip_special_tokens=False) == text
+                back[i] = c.tokenizer.decode(own.tolist(), skip_special_tokens=False) == text
         return same, back
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False, whole_check: int = WHOLE_CHECK) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, parity, round_trip[, ids]) for every row of ``docs``; crc of little-endian unsigned 32-bit ids.
 
-    ``parity``: the sentencepiece library gives the same ids. All distinct words are compared, and besides whole texts: one
-    in ``whole_check`` by hash of the text, and each with double spaces or marker characters. ``round_trip``: decoding gives the text back.
+    ``parity``: the sentencepiece library gives the same ids for the whole text. ``round_trip``: decoding gives the text back.
     Null and empty texts have no ids. Rows that repeat an id have a result each. No rows give none; other columns are ignored.
     """
     path = path or tokenizer_path(MODEL)
@@ -155,8 +144,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
         for batch in batches:
             for a, b, texts in enc.slices(batch.column(1)):
                 ids, at = enc.encode(texts)
-                whole = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False) % whole_check == 0
-                same, back = enc.verdicts(texts, ids, at, whole)
+                same, back = enc.verdicts(texts, ids, at)
                 own = [ids[at[i]:at[i + 1]].astype("<u4") for i in range(b - a)]
                 cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array([zlib.crc32(x) for x in own], pa.int64()),
                         pa.array(same), pa.array(back)]
@@ -165,8 +153,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
                     cols, names = [*cols, pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.pmod(F.xxhash64("text"), 1 << 30).alias("pick"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + (
         ", ids array<int>" if with_ids else ""))
 

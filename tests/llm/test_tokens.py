@@ -2,17 +2,19 @@
 
 import collections
 import heapq
+import tempfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from keeprank.llm import bpe
 from keeprank.llm import huffman as hf
 from keeprank.llm import packing as pk
 from keeprank.llm.bpe import DEFAULT_FILE, encoder, tokenizer_path
 from keeprank.llm.pieces import BPE, read_model
-from keeprank.llm.sentencepieces import MODEL, PieceEncoder, decode_pieces, encode_pieces, merge_rules
+from keeprank.llm.sentencepieces import MODEL, PieceEncoder, decode_pieces, encode_pieces, merge_rules, rebuild
 
 NASTY = ["", " ", "  ", "a  b", "a   b", "x\n  b", "a \n b", "  lead", "tail ", "tail  ", "\n\n x", "\t\n y\n", "don't we'll I'd", "a,b.c,",
          "é è ²½ x² 5x", "foo<|endoftext|>bar baz", "<|endoftext|>", "日本語 テキスト。 あ 𠮷😀", "a\r\nb \r\n c", "!!! ... ?! (a) ,, ..", "w.\nN w,\n N",
@@ -44,6 +46,42 @@ def test_chunked_ids_equal_the_library(library):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(t) for t in NASTY]
 
 
+def test_small_caches_change_no_ids(library, monkeypatch):
+    """Runs of two words, generations that turn at every slice, words met again after they went."""
+    monkeypatch.setattr(bpe, "JOINED", 2)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 600)
+    enc = bpe.TextEncoder(tokenizer_path(DEFAULT_FILE))
+    for round_ in range(3):
+        texts = [f"{t} {t} w{i % 5} w{i % 5} déjà {i}, x" for i, t in enumerate(NASTY[round_:])] + NASTY
+        ids, at = enc.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(t) for t in texts]
+    assert enc.chunks.cache.old and len(enc.chunks.cache.young) < 60
+
+
+def test_unigram_pipeline_equals_sentencepiece():
+    """The other kind of model: scores, marker and byte fallback rebuilt from a hand-made protobuf."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    names = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces = ["▁", "a", "b", "n", "d", "s", "▁a", "an", "▁ban", "ana", "▁banana", "nas", "and", "▁and", "ban", "s▁"][:-1]
+    names += [(p, -1.0 - 0.7 * i, 1) for i, p in enumerate(pieces)]
+    model = pb.ModelProto()
+    for p, score, kind in names:
+        model.pieces.add(piece=p, score=score, type=kind)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id = 1, True, 0
+    model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.escape_whitespaces = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    judge = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    with tempfile.NamedTemporaryFile(dir="/tmp", suffix=".model") as f:
+        f.write(model.SerializeToString())
+        f.flush()
+        own = rebuild(read_model(f.name))
+    for text in ("banana", "bananas and bananas", "an a b", "ñand zé", "dsnab sss", "banana 𠮷"):
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert ids == judge.encode(text) and own.decode(ids, skip_special_tokens=False) == text
+
+
 def cost(counts, limit):
     """Cost of the best code by plain Huffman; None where a word would be longer than the limit."""
     heap = [(int(c), 0) for c in counts if c]
@@ -160,7 +198,7 @@ def test_marker_characters_lose_the_round_trip_only():
     enc = encoder(tokenizer_path(MODEL), PieceEncoder)
     texts = pa.array(["▁x a▁b ▁", "plain words"])
     ids, at = enc.encode(texts)
-    same, back = enc.verdicts(texts, ids, at, np.zeros(2, bool))
+    same, back = enc.verdicts(texts, ids, at)
     assert same.all() and back.tolist() == [False, True]
 
 
