@@ -74,10 +74,11 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = Cache()
-        self.dtype = np.dtype("H" if self.tokenizer.get_vocab_size() <= 65_536 else "I")
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("H" if self.size <= 65_536 else "I")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The byte-level alphabet spells each byte with one character, so a token has as many bytes as characters.
-        self.bytes_of = np.ones(self.tokenizer.get_vocab_size(), dtype=np.int32)
+        self.bytes_of = np.ones(self.size, dtype=np.int32)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
 

@@ -140,20 +140,28 @@ def decode_blocks(blocks: list[bytes], table: tuple[np.ndarray, np.ndarray, int]
 
 
 def tokenise_in_order(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Rows of about ``BLOCK_TOKENS`` ids in ascending doc_id order inside range partitions ``part``."""
+    """Rows of about ``BLOCK_TOKENS`` ids in ascending doc_id order inside range partitions ``part``. One more row a partition
+    has no documents but ``counts``, how often each id occurs in it."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def tokenise(batches):
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held_docs, held_ids, tokens = [], [], 0
         enc = encoder(path)
-
-        def row():
+        total = np.zeros(enc.chunks.size, dtype=np.int64)
+
+        def row(counts=None):
+            nonlocal total
+            ids = np.concatenate([np.zeros(0, enc.dtype), *held_ids])
+            own = np.bincount(ids, minlength=len(total))
+            own[:len(total)] += total
+            total = own
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
                 pa.array([held_docs], pa.list_(pa.int64())), pa.array([[len(i) for i in held_ids]], pa.list_(pa.int64())),
-                pa.array([np.concatenate(held_ids).astype("<u4" if enc.dtype.itemsize == 4 else "<u2").tobytes()], pa.binary()),
-                pa.array([tokens], pa.int64())], ["part", "block", "before", "doc_ids", "lens", "ids", "n_tokens"])
+                pa.array([ids.astype("<u4" if enc.dtype.itemsize == 4 else "<u2").tobytes()], pa.binary()),
+                pa.array([tokens], pa.int64()), pa.array([counts], pa.binary())],
+                ["part", "block", "before", "doc_ids", "lens", "ids", "n_tokens", "counts"])
 
         for batch in batches:
             for a, b, texts in enc.slices(batch.column(1)):
@@ -168,11 +176,13 @@ def tokenise_in_order(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         block, before, tokens, held_docs, held_ids = block + 1, before + tokens, 0, [], []
         if held_docs:
             yield row()
+            block, before, tokens, held_docs, held_ids = block + 1, before + tokens, 0, [], []
+        yield row(total.astype("<i8").tobytes())
 
     tie = F.xxhash64("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(
         parts, "doc_id", tie).sortWithinPartitions("doc_id", tie).mapInArrow(
-        tokenise, "part int, block int, before long, doc_ids array<long>, lens array<long>, ids binary, n_tokens long")
+        tokenise, "part int, block int, before long, doc_ids array<long>, lens array<long>, ids binary, n_tokens long, counts binary")
 
 
 def write_token_file(docs: DataFrame, target: str, path: str | None = None, end_id: int = 2, limit: int = LIMIT) -> None:
@@ -192,18 +202,15 @@ def write_token_file(docs: DataFrame, target: str, path: str | None = None, end_
     def count(batches):
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), dtype))
-                if len(own) > len(total):
-                    own[:len(total)] += total
-                    total = own
-                else:
-                    total[:len(own)] += own
+            for counts in batch.column(0):
+                own = np.frombuffer(counts.as_buffer(), "<i8")
+                total = np.pad(total, (0, max(0, len(own) - len(total))))
+                total[:len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
     # One row per vocabulary entry and one per part: both bounded, whatever the number of documents.
-    seen = ordered.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    seen = ordered.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ends = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toPandas()
     counts = np.zeros(int(seen["id"].max()) + 1 if len(seen) else 1, dtype=np.int64)
     counts[seen["id"].to_numpy(dtype=np.int64)] = seen["n"].to_numpy(dtype=np.int64)
@@ -223,7 +230,7 @@ def write_token_file(docs: DataFrame, target: str, path: str | None = None, end_
                     pa.array([first[part] + row["before"].as_py()], pa.int64()), pa.array([row["n_tokens"].as_py()], pa.int64()),
                     pa.array([payload], pa.binary())], ["part", "block", "start", "n_tokens", "payload"])
 
-    put(ordered.mapInArrow(encode, "part int, block int, start long, n_tokens long, payload binary"),
+    put(ordered.filter("counts IS NULL").drop("counts").mapInArrow(encode, "part int, block int, start long, n_tokens long, payload binary"),
         f"{target}/blocks", compression="none")
     used = np.flatnonzero(lengths)
     table = pa.table({"id": pa.array(used, pa.int64()), "length": pa.array(lengths[used].astype(np.int32), pa.int32())})
