@@ -40,13 +40,13 @@ def rerank_regret(spark, d):
 
 
 @query("rerank_elasticity", f"""
-WITH {CANDIDATE_SQL}, f AS (SELECT user_id, round(regr_slope(ln(quantity), ln(price)), 6) * 3 - 1 AS e FROM purchases WHERE user_id % 10 <> 0 GROUP BY 1),
+WITH {CANDIDATE_SQL}, f AS (SELECT user_id, round(regr_slope(ln(quantity), ln(price)), 6) * 3 - 1 AS e FROM purchases GROUP BY 1),
 x AS (SELECT cd.*, f.e, CASE WHEN f.e >= -0.5 THEN 0.8::DOUBLE WHEN f.e >= -2.0 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS w FROM cd LEFT JOIN f USING (user_id)),
 y AS (SELECT *, CASE WHEN e < -2.0 THEN rating / greatest(price, 0.01) ELSE rating END AS v, CASE WHEN e < -2.0 THEN rating ELSE rating * (1 + 0.1 * (5 - price)) END AS q FROM x),
 s AS (SELECT user_id, item_id, round(CASE WHEN e IS NULL OR isnan(e) THEN base_score ELSE base_score * (0.5 + 0.5 * ((1 - w) * v + w * q) / greatest(rating, 1)) END, 9) AS score FROM y)
 SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s""")
 def rerank_elasticity(spark, d):
-    fitted = elasticity.elasticity_fit(T.purchase_lines(spark, d).filter("user_id % 10 <> 0"), ["user_id"]).filter(
+    fitted = elasticity.elasticity_fit(T.purchase_lines(spark, d), ["user_id"]).filter(
         "elasticity IS NOT NULL").select("user_id", (F.round("elasticity", 6) * 3 - 1).alias("elasticity"))
     sens = scoring.sensitivity_class(F.col("elasticity"))
     users = fitted.withColumn("weight", elasticity.share_weight(sens))

@@ -173,8 +173,8 @@ def rule_explanation(spark, d):
 
 CHAIN_SQL = f"""
 p AS ({PROFILE_SQL}), {NAIVE_SQL}, nd AS (SELECT item_id, round(sum(units) FILTER (step < 7), 9) AS need FROM f GROUP BY 1),
-el AS (SELECT user_id, round(regr_slope(ln(quantity), ln(price)), 6) * 3 - 1 AS e FROM purchases WHERE user_id % 10 <> 0 GROUP BY 1),
-c0 AS (SELECT DISTINCT user_id, (item_id * 7) % 200 AS item_id FROM interactions),
+el AS (SELECT user_id, round(regr_slope(ln(quantity), ln(price)), 6) * 3 - 1 AS e FROM purchases GROUP BY 1),
+c0 AS (SELECT DISTINCT user_id, (item_id * 7 + user_id * 13) % (SELECT count(*) FROM items) AS item_id FROM interactions),
 c1 AS (SELECT c0.user_id, c0.item_id, coalesce(i.category, 'unknown') AS category, coalesce(i.price, 10) AS price, coalesce(i.rating, 3) AS rating, i.inventory % 40 AS inventory, i.seller_id,
               coalesce(i.rating, 3) / 5 AS s0, CASE WHEN isnan(el.e) THEN NULL ELSE el.e END AS e FROM c0 LEFT JOIN items i USING (item_id) LEFT JOIN el USING (user_id)),
 c2 AS (SELECT *, CASE WHEN e >= -0.5 THEN 0.8::DOUBLE WHEN e >= -2.0 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS w,
@@ -189,10 +189,11 @@ c7 AS (SELECT user_id, item_id, round(s3, 9) AS score, row_number() OVER (PARTIT
 
 
 def chain_parts(spark, d):
-    cand = T.interactions(spark, d).select("user_id", (F.col("item_id") * 7 % 200).alias("item_id")).distinct()
+    n_items = T.items(spark, d).count()
+    cand = T.interactions(spark, d).select("user_id", ((F.col("item_id") * 7 + F.col("user_id") * 13) % n_items).alias("item_id")).distinct()
     items = T.items(spark, d).withColumn("inventory", F.col("inventory") % 40)
     rows = chain.enrich(cand, items).withColumn("score", F.col("rating") / 5)
-    fitted = elasticity.elasticity_fit(T.purchase_lines(spark, d).filter("user_id % 10 <> 0"), ["user_id"]).filter(
+    fitted = elasticity.elasticity_fit(T.purchase_lines(spark, d), ["user_id"]).filter(
         "elasticity IS NOT NULL").select("user_id", (F.round("elasticity", 6) * 3 - 1).alias("elasticity"))
     feats = fitted.withColumn("weight", elasticity.share_weight(scoring.sensitivity_class(F.col("elasticity"))))
     risk = T.purchase_lines(spark, d).groupBy("seller_id").agg((F.count_if("is_returned") / F.count("*")).alias("probability"))
