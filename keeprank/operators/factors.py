@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,33 +58,101 @@ def als_factors(matrix: DataFrame, rank: int = 16, iterations: int = 5, seed: in
     return uf, itf
 
 
-def svd_factors(matrix: DataFrame, k: int):
-    """Truncated SVD by the Gram matrix of the item side: user = U·Σ, item = V.
+SALT_CELLS = 100_000
+OVERSAMPLE = 8
+BRANCH = 32
 
-    The n_items × n_items Gram matrix lives on the driver, so this is for moderate item counts (checked);
-    use ``als_factors`` beyond.
+
+def _sums(cells: DataFrame, block: DataFrame, by: str, over: str, width: int) -> DataFrame:
+    """``by`` rows of the product of the matrix with ``block(over, x)``: one join, one sum per column with map-side combine."""
+    joined = cells.join(block, [over, f"{over}_salt"])
+    sums = joined.groupBy(by).agg(*[F.sum(F.col("value") * F.get("x", F.lit(j))).alias(f"c{j}") for j in range(width)])
+    return sums.select(by, F.array(*[F.col(f"c{j}") for j in range(width)]).alias("x"))
+
+
+def tree_qr(rows: DataFrame, width: int) -> np.ndarray:
+    """R of the QR decomposition of a tall table of rows ``x``: one factor per partition, merged in ``BRANCH`` branches, so only
+    ``width`` x ``width`` matrices ever meet, and one of them per branch reaches the driver."""
+    def factor(blocks: list[np.ndarray]) -> np.ndarray:
+        return np.linalg.qr(np.vstack([np.zeros((width, width)), *blocks]), mode="r")
+
+    def leaf(batches):
+        from pyspark import TaskContext
+
+        r = np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                r = factor([r, np.stack([np.asarray(v, dtype=np.float64) for v in batch["x"]])])
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.reshape(-1).tolist()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = factor([np.asarray(v).reshape(width, width) for v in pdf["r"]])
+        return pd.DataFrame({"r": [r.reshape(-1).tolist()]})
+
+    level = rows.select("x").mapInPandas(leaf, "part int, r array<double>")
+    branches = level.groupBy((F.col("part") % BRANCH).alias("branch")).applyInPandas(merge, "r array<double>")
+    return factor([np.asarray(r["r"]).reshape(width, width) for r in branches.collect()])
+
+
+def _times(rows: DataFrame, key: str, m: np.ndarray, name: str) -> DataFrame:
+    """Rows ``x`` times a small matrix."""
+    def product(batches):
+        for batch in batches:
+            if len(batch):
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in batch["x"]])
+                yield pd.DataFrame({key: batch[key], name: list(x @ m)})
+
+    return rows.select(key, "x").mapInPandas(product, f"{key} {rows.schema[key].dataType.simpleString()}, {name} array<double>")
+
+
+def _orthonormal(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """The same space with orthonormal columns; directions that the rows do not have become zero columns."""
+    _, sizes, right = np.linalg.svd(tree_qr(rows, width))
+    inverse = np.where(sizes > 1e-12 * max(sizes[0], 1e-300), 1 / np.maximum(sizes, 1e-300), 0.0)
+    return _times(rows, key, right.T * inverse, "x")
+
+
+def svd_factors(matrix: DataFrame, k: int, rounds: int = 4):
+    """Truncated SVD by randomised block power iteration: user = U·Σ, item = V, both with ``k`` columns.
+
+    The block has ``k`` + ``OVERSAMPLE`` columns and starts from hashes of the item ids. Each half round is a join of the cells with the
+    block and a grouped sum; columns are made orthonormal by a tree of QR factors over the partitions, so only matrices as wide as the
+    block come to the driver, whatever the numbers of users and items. Users and items with many cells are salted. Each
+    block is a table in the shared folder, so a lost executor costs one step. ``k`` is cut to the number of users and items.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    matrix = write_and_read(matrix.select("user_id", "item_id", "value"), "matrix")
-    users = write_and_read(dense_index(matrix.select("user_id").distinct(), "user_id", "u"), "svd-users")
-    items = write_and_read(dense_index(matrix.select("item_id").distinct(), "item_id", "i"), "svd-items")
-    n_items = items.count()
-    if n_items > 5_000:
-        raise ValueError(f"svd_factors holds an item Gram matrix on the driver; {n_items} items are too many, use als_factors")
-    n_users = users.count()
-    k = max(1, min(k, min(n_users, n_items) - 1))
-    cells = matrix.join(users, "user_id").join(items, "item_id").select("u", "i", "value")
-    entries = cells.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))
-    indexed = CoordinateMatrix(entries.persist(StorageLevel.MEMORY_AND_DISK), n_users, n_items).toIndexedRowMatrix()
-    svd = indexed.computeSVD(k, computeU=True)
-    sigma, v = svd.s.toArray(), svd.V.toArray()
-    spark = matrix.sparkSession
-    u = svd.U.rows.map(lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector.toArray(), sigma)])).toDF(
-        "u BIGINT, user_factor ARRAY<DOUBLE>")
-    right = spark.createDataFrame(
-        pd.DataFrame({"i": np.arange(n_items), "item_factor": [row.tolist() for row in v]}), "i BIGINT, item_factor ARRAY<DOUBLE>")
-    return (users.join(u, "u").select("user_id", "user_factor"), items.join(right, "i").select("item_id", "item_factor"))
+    cells = write_and_read(matrix.select("user_id", "item_id", "value"), "svd-cells")
+    salts = {}
+    for side, other in (("user_id", "item_id"), ("item_id", "user_id")):
+        counted = cells.groupBy(side).agg(F.ceil(F.count("*") / SALT_CELLS).cast("int").alias("salts"))
+        salts[side] = write_and_read(counted, f"svd-{side}")
+    n_users, n_items = (salts[side].count() for side in ("user_id", "item_id"))
+    k = max(1, min(k, n_users, n_items))
+    width = min(k + OVERSAMPLE, max(1, min(n_users, n_items)))
+    for side, other in (("user_id", "item_id"), ("item_id", "user_id")):
+        heavy = salts[side].filter("salts > 1")
+        cells = cells.join(heavy, side, "left").withColumn(
+            f"{side}_salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    cells = write_and_read(cells, "svd-salted")
+
+    def block(rows: DataFrame, side: str, name: str) -> DataFrame:
+        return write_and_read(rows.select(side, "x"), name)
+
+    def salted(rows: DataFrame, side: str) -> DataFrame:
+        return rows.join(salts[side], side).select(side, "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"{side}_salt"))
+
+    start = [F.xxhash64(F.lit(j), "item_id") / F.lit(float(2 ** 63)) for j in range(width)]
+    items = block(salts["item_id"].select("item_id", F.array(*start).alias("x")), "item_id", "svd-start")
+    for _ in range(rounds):
+        users = block(_sums(cells, salted(items, "item_id"), "user_id", "item_id", width), "user_id", "svd-user-block")
+        users = _orthonormal(users, "user_id", width)
+        items = block(_sums(cells, salted(users, "user_id"), "item_id", "user_id", width), "item_id", "svd-item-block")
+    # The matrix is Q·itemsᵀ now; the small factor of its item side carries the rotation and the singular values.
+    _, sizes, right = np.linalg.svd(tree_qr(items, width))
+    turn = right.T[:, :k]
+    user_factors = _times(users, "user_id", turn * sizes[:k], "user_factor")
+    inverse = np.where(sizes[:k] > 1e-12 * max(sizes[0], 1e-300), 1 / np.maximum(sizes[:k], 1e-300), 0.0)
+    item_factors = _times(items, "item_id", turn * inverse, "item_factor")
+    return user_factors, item_factors
 
 
 def inbatch_softmax_loss(pairs: DataFrame, batch_size: int, tau: float, key: str = "pair_id") -> DataFrame:
