@@ -113,10 +113,20 @@ WITH line AS (
 ), ranked AS (
   SELECT *, words >= 20 AND (size >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone
   FROM chunk
+), pair AS (
+  SELECT doc_id, i, w, lead(w) OVER d AS w2, l || chr(10) || lead(l) OVER d AS body FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM pair WHERE body IS NOT NULL) WHERE nth > 1
+), gone AS (
+  SELECT doc_id, unnest(range(min(i), max(i) + 2)) AS i FROM later GROUP BY doc_id, run HAVING arg_min(w, i) + sum(w2) >= 50
+  UNION SELECT doc_id, i FROM numbered JOIN ranked USING (doc_id, c) WHERE gone
+), marked AS (
+  SELECT line.*, gone.i IS NOT NULL AS gone FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i
 )
-SELECT doc_id, CAST(sum(size) AS BIGINT) AS lines_before, CAST(sum(CASE WHEN gone THEN size ELSE 0 END) AS BIGINT) AS lines_removed,
-  sha256(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS text_sha256
-FROM ranked GROUP BY doc_id
+SELECT doc_id, count(*) AS lines_before, count(*) FILTER (gone) AS lines_removed,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

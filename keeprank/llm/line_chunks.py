@@ -1,10 +1,10 @@
-"""Line dedup by content-defined chunks, in DataFrame functions only."""
+"""Line dedup by content-defined chunks and the runs of repeated lines around them, in DataFrame functions only."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keeprank.llm.storage import settle
@@ -13,6 +13,8 @@ MODULUS = 3
 FEWEST_WORDS = 20
 LONG_LINE_WORDS = 50
 FACTOR = 1_000_003
+CHUNK, PAIR = 1, 2
+PLACE = ("id", "digest", "first")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,37 +59,74 @@ def removable(chunk: Column, fewest_words: int, long_line: int) -> Column:
     return (chunk["words"] >= fewest_words) & ((chunk["size"] >= 2) | (chunk["words"] >= long_line))
 
 
+def units(keyed: DataFrame, modulus: int, fewest_words: int, long_line: int) -> DataFrame:
+    """What can repeat in ``keyed(id, digest, lines)``, by place and hashes: removable chunks, and pairs of adjacent lines.
+
+    ``head`` and ``tail`` are the words of a pair's two lines.
+    """
+    own = lambda lines: F.transform(F.filter(chunks(lines, modulus, long_line), lambda c: removable(c, fewest_words, long_line)),
+                                    lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.array_join(
+                                        F.slice(lines, c["first"] + 1, c["size"]), "\n").alias("body")))
+    blocks = keyed.select("id", "digest", F.inline(own(F.col("lines")))).select(
+        "id", "digest", F.lit(CHUNK).alias("kind"), "first", "size", F.lit(0).alias("head"), F.lit(0).alias("tail"),
+        F.xxhash64(F.lit(CHUNK), "body").alias("h1"), F.xxhash64(F.lit(CHUNK + 7), "body").alias("h2"))
+    after = keyed.withColumn("after", F.slice("lines", 2, F.size("lines")))
+    pairs = after.select("id", "digest", F.posexplode(F.arrays_zip("lines", "after")).alias("first", "l")).select(
+        "id", "digest", "first", F.col("l.lines").alias("line"), F.col("l.after").alias("next")).filter("next IS NOT NULL").select(
+        "id", "digest", F.lit(PAIR).alias("kind"), "first", F.lit(2).alias("size"), words_in(F.col("line")).alias("head"),
+        words_in(F.col("next")).alias("tail"), F.xxhash64(F.lit(PAIR), "line", "next").alias("h1"),
+        F.xxhash64(F.lit(PAIR + 7), "line", "next").alias("h2"))
+    return blocks.unionByName(pairs)
+
+
+def repeated_spans(keyed: DataFrame, modulus: int, fewest_words: int, long_line: int) -> DataFrame:
+    """(id, digest, gone): per document the spans (first, size) of lines that stand at an earlier place.
+
+    A span is a repeated chunk, or a longest run of lines whose adjacent pairs all stand earlier, of ``long_line`` words or
+    more: the run goes on to both edges of a passage, wherever the chunks around it end. Hashes find what repeats, and
+    the bytes of only that are compared.
+    """
+    every = units(keyed, modulus, fewest_words, long_line)
+    repeated = settle(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("keeper")).filter("n > 1").drop("n"),
+                      "repeated-hashes")
+    seen = settle(every.join(repeated, ["h1", "h2"]), "repeated-units")
+    listed = seen.groupBy(F.col("id").alias("i"), F.col("digest").alias("d")).agg(
+        F.collect_set(F.struct("h1", "h2", "first", "size")).alias("parts"))
+    bodies = keyed.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("lines", F.explode("parts").alias("p")).select(
+        "p.h1", "p.h2", F.array_join(F.slice("lines", F.col("p.first") + 1, F.col("p.size")), "\n").alias("body"))
+    # Grouping by the text itself compares bytes. Hashes that two texts share are left alone.
+    shared = settle(bodies.groupBy("h1", "h2", "body").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter(
+        "texts > 1").select("h1", "h2"), "shared-hashes")
+    later = seen.filter(~F.struct(*PLACE).eqNullSafe(F.col("keeper"))).join(shared, ["h1", "h2"], "left_anti")
+
+    order = F.dense_rank().over(Window.partitionBy("id", "digest").orderBy("first"))
+    pairs = later.filter(F.col("kind") == PAIR).select("id", "digest", "first", "head", "tail", (F.col("first") - order).alias("run")).groupBy(
+        "id", "digest", "run", "first").agg(F.min("head").alias("head"), F.min("tail").alias("tail"))
+    runs = pairs.groupBy("id", "digest", "run").agg(
+        F.min("first").alias("first"), (F.count("*") + 1).cast("int").alias("size"),
+        (F.min_by("head", "first") + F.sum("tail")).alias("words")).filter(F.col("words") >= long_line)
+    spans = later.filter(F.col("kind") == CHUNK).select(*PLACE, "size").unionByName(runs.select(*PLACE, "size"))
+    return spans.groupBy("id", "digest").agg(F.collect_set(F.struct("first", "size")).alias("gone"))
+
+
 def drop_repeated_chunks(docs: DataFrame, modulus: int = MODULUS, fewest_words: int = FEWEST_WORDS,
                          long_line: int = LONG_LINE_WORDS, counts: bool = False, drop_emptied: bool = True) -> DataFrame:
-    """``docs`` without the line chunks that stand elsewhere before; columns and all other text stay as they are.
+    """``docs`` without the line chunks and runs of lines that stand elsewhere before; columns and all other text stay as they are.
 
     Of equal chunks (byte by byte) the one in the smallest doc_id stays, there the first one; null ids count as smallest. Chunks with fewer
-    than ``fewest_words`` words, and single lines with fewer than ``long_line``, are never removed. Rows that repeat id and
+    than ``fewest_words`` words, and single lines with fewer than ``long_line``, are never removed by themselves. A run of two lines or more with at
+    least ``long_line`` words goes if each pair of adjacent lines in it stands at an earlier place, so a passage goes as a whole whatever surrounds
+    it. Each removed line stands at an earlier place, so one copy of it always stays. Rows that repeat id and
     text are one document and get the same result. Null texts stay null, empty ones empty. A document whose lines are all removed is dropped
     (``drop_emptied``), or keeps an empty text. ``counts`` adds ``lines_before`` and ``lines_removed`` (long).
     Columns of any other name pass through; an empty table gives an empty one.
 
-    Only hashes and places travel, except that each distinct chunk goes once per task to where its copies are compared.
+    Hashes and places travel; a text moves once for the comparison, if it holds something repeated, and once for the result.
     """
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("digest"), F.split(text, "\n", -1).alias("lines")).filter(
         "lines IS NOT NULL")
-
-    def found(with_text: bool) -> DataFrame:
-        own = lambda lines: F.transform(F.filter(chunks(lines, modulus, long_line), lambda c: removable(c, fewest_words, long_line)),
-                                        lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.array_join(
-                                            F.slice(lines, c["first"] + 1, c["size"]), "\n").alias("body")))
-        each = keyed.select("id", "digest", F.explode(own(F.col("lines"))).alias("c")).select(
-            "id", "digest", "c.*", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(7), "c.body").alias("h2"))
-        return each if with_text else each.drop("body")
-
-    place = F.struct("id", "digest", "first")
-    equal = found(True).groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.min(place).alias("keeper"))
-    # Grouping by the text itself compares bytes. Hashes that two texts share are left alone.
-    keepers = settle(equal.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("keeper").alias("keeper")).filter(
-        "texts = 1 AND n > 1").select("h1", "h2", "keeper"), "chunk-keepers")
-    extra = found(False).join(keepers, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keeper"))).groupBy("id", "digest").agg(
-        F.collect_set("first").alias("gone"))
+    extra = repeated_spans(keyed, modulus, fewest_words, long_line)
 
     names = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn(
@@ -96,8 +135,9 @@ def drop_repeated_chunks(docs: DataFrame, modulus: int = MODULUS, fewest_words:
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
 
     def rest(s: Column) -> Column:
-        stays = F.filter(chunks(s["lines"], modulus, long_line), lambda c: ~F.array_contains(s["gone"], c["first"]))
-        return F.flatten(F.transform(stays, lambda c: F.slice(s["lines"], c["first"] + 1, c["size"])))
+        removed = F.flatten(F.transform(s["gone"], lambda g: F.sequence(g["first"], g["first"] + g["size"] - 1)))
+        stays = F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), removed)
+        return F.transform(stays, lambda i: F.get(s["lines"], i))
 
     remaining = F.when(F.col("gone").isNotNull(), let(F.struct(lines.alias("lines"), F.col("gone").alias("gone")), rest))
     cut = joined.select("row", "gone", remaining.alias("remaining"))

@@ -33,18 +33,28 @@ def naive_chunks(lines):
 
 
 def naive_lines(texts):
-    seen, out = set(), {}
+    seen, pairs, out = set(), set(), {}
     for doc, text in sorted({(d, t) for d, t in texts}, key=lambda x: (x[0] is not None, x[0] or 0)):
         if text is None:
             out[doc, text] = None
             continue
-        lines, rest = text.split("\n"), []
+        lines, gone = text.split("\n"), set()
         for a, b, words in naive_chunks(lines):
             body = "\n".join(lines[a:b])
-            gone = words >= 20 and (b - a >= 2 or words >= 50) and body in seen
+            if words >= 20 and (b - a >= 2 or words >= 50) and body in seen:
+                gone.update(range(a, b))
             seen.add(body)
-            rest += [] if gone else lines[a:b]
-        out[doc, text] = "\n".join(rest)
+        run = [0]
+        for i in range(1, len(lines) + 1):
+            pair = tuple(lines[i - 1:i + 1])
+            if i < len(lines) and pair in pairs:
+                run.append(i)
+                continue
+            if len(run) > 1 and sum(lines[j].count(" ") + 1 for j in run) >= 50:
+                gone.update(run)
+            pairs.add(pair)
+            run = [i]
+        out[doc, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -77,6 +87,35 @@ def test_line_chunks(spark):
     assert lc.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_whole_passages_go_whatever_surrounds_them(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts, planted = [], {}
+    for shape, (count, words) in enumerate([(4, 15), (5, 12), (8, 12), (12, 10), (2, 30)]):
+        for trial in range(30):
+            passage = [line(words) for _ in range(count)]
+            for copy in range(2):
+                around = [[line(rng.randint(1, 14)) for _ in range(rng.randint(0, 5))] for _ in range(2)]
+                doc = 1_000 * shape + 10 * trial + copy
+                texts.append((doc, "\n".join(around[0] + passage + around[1])))
+                planted[doc] = (copy, passage, around[0] + around[1])
+    short = ["same short line", line(20), line(20)]  # under 50 words in two documents
+    texts += [(90_000 + i, "\n".join([line(9), *short[:2], line(9)])) for i in range(2)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lc.drop_repeated_chunks(docs_of(spark, texts), drop_emptied=False).collect()}
+    for doc, (copy, passage, around) in planted.items():
+        left = got[doc] if got[doc] != [""] else []
+        assert left == (around if copy else dict(texts)[doc].split("\n"))
+    assert len(got[90_000]) == 4
+
+
+def test_a_document_with_very_many_repeated_lines(spark):
+    lines = [f"line {i} of a long log" for i in range(30_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(x for i, x in enumerate(lines) for x in ([x] if i % 20 else [x, f"own {i}"])))]
+    got = {r["doc_id"]: r["text"] for r in lc.drop_repeated_chunks(docs_of(spark, texts)).collect()}
+    # the first line stands alone between the edge and a line of its own
+    assert got[1] == texts[0][1] and got[2].split("\n") == [lines[0], *(f"own {i}" for i in range(0, 30_000, 20))]
+
+
 def test_an_inserted_line_moves_few_boundaries():
     rng = random.Random(9)
     lines = [" ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)]
