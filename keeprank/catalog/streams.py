@@ -9,7 +9,6 @@ from keeprank.catalog import query
 from keeprank.catalog.aggregates import PULLS_SQL, pulls
 from keeprank.catalog.projections import BUCKET_SQL
 from keeprank.catalog.windows import LIFE_SQL, divergences
-from keeprank.functions import scoring
 from keeprank.functions.context import implicit_rating
 from keeprank.operators import bandit
 from keeprank.schemas import ENVELOPE
@@ -125,7 +124,8 @@ WITH s AS (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS slot FROM interactions)
 SELECT event_id, slot, EXISTS (SELECT 1 FROM s b WHERE b.user_id = a.user_id AND b.item_id = a.item_id AND b.slot BETWEEN a.slot - 3 AND a.slot AND (b.ts, b.event_id) < (a.ts, a.event_id)) AS seen_recently FROM s a""")
 def stream_seen_items(spark, d):
     stream = interaction_stream(spark, d).select("user_id", "item_id", "event_id", "ts")
-    return runner.run_append(jobs.seen_items(stream), "seen")
+    with runner.rocksdb_state(spark):
+        return runner.run_append(jobs.seen_items(stream), "seen")
 
 
 @query("stream_inventory", """
@@ -149,7 +149,8 @@ def stream_latest_embedding(spark, d):
 WITH {LIFE_SQL} SELECT user_id, ref_id, seq, round(mean_divergence, 6) AS mean_divergence, round(mean_divergence, 9) > 0.05 AS alarm FROM rd""")
 def stream_divergence(spark, d):
     steps, _ = divergences(spark, d)
-    out = runner.run_append(jobs.divergence(staged_stream(steps, "divergence"), threshold=0.05 + 1e-9), "divergence")
+    with runner.rocksdb_state(spark):
+        out = runner.run_append(jobs.divergence(staged_stream(steps, "divergence"), threshold=0.05 + 1e-9), "divergence")
     return out.withColumn("mean_divergence", F.round("mean_divergence", 6))
 
 
@@ -202,9 +203,7 @@ def late_events(spark, d):
     """Three arrivals in turn: early days, later days, then a straggling part of the early days."""
     log = T.interactions(spark, d).select("event_id", "user_id", "ts")
     early, straggler = F.dayofmonth("ts") <= 10, F.col("event_id") % 10 == 0
-    path = scratch_path(spark, "arrivals")
-    for part in (early & ~straggler, ~early, early & straggler):
-        log.filter(part).coalesce(1).write.mode("append").parquet(path)
+    path, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "late-log")
     on_time, late, marks = (scratch_path(spark, n) for n in ("on-time", "late", "marks"))
 
     def divert(batch, batch_id):
@@ -218,7 +217,9 @@ def late_events(spark, d):
         batch.filter(~is_late).write.mode("overwrite").parquet(f"{on_time}/part={batch_id}")
         batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{marks}/part={batch_id}")
 
-    runner.run_batches(runner.folder_stream(spark, path, log.schema, files_per_trigger=1), "late", divert)
+    for part in (early & ~straggler, ~early, early & straggler):  # one batch each, whatever the number of its files
+        log.filter(part).write.mode("append").parquet(path)
+        runner.run_batches(runner.folder_stream(spark, path, log.schema), "late", divert, log=checkpoint)
     read = lambda p, side: spark.read.schema(log.schema).parquet(p).select(F.lit(side).alias("side"))
     return read(late, "late").unionByName(read(on_time, "on time")).groupBy("side").agg(F.count("*").alias("n"))
 
@@ -280,5 +281,3 @@ def stream_feature_upsert(spark, d):
     updates = interaction_stream(spark, d).withColumnRenamed("event_id", "version")
     return runner.run_updates(jobs.latest(updates, "user_id", ["version", "price"], ["ts", "version"]), "features", ["user_id"])
 
-
-__all__ = ["scoring"]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from keeprank.functions.hashing import md5_60
 from keeprank.operators.ranking import top_k
 
+SKETCH_ACCURACY = 10_000
+BINS = 4_096
+
 
 def ctr(events: DataFrame, keys: list[str], impression: Column, click: Column) -> DataFrame:
     shown, clicked = F.count_if(impression), F.count_if(click)
@@ -74,18 +77,31 @@ def fraud_ring_recall(detected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def latency_stats(timings: DataFrame, key: str = "step", value: str = "ms", approximate: bool = False) -> DataFrame:
-    """Mean and p99 per step. Exact p99 is the 0-based element floor(0.99·n) of the sorted values.
+    """Mean and p99 per step. Exact p99 is the 0-based element floor(0.99·n) of the sorted values; null values take no part.
 
-    Equal values are counted together before ordering, so the ordered window holds distinct values only.
+    A mergeable quantile sketch with a fixed rank error brackets the element, counts of ``BINS`` equal parts of the bracket name the part that
+    holds it, and only the distinct values of that part are ordered.
     """
+    known = timings.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
     if approximate:
-        return timings.groupBy(key).agg(F.avg(value).alias("mean"), F.percentile_approx(value, 0.99, 10_000).alias("p99"))
-    counted = timings.groupBy(key, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(key).orderBy(value)
-    upto = counted.withColumn("_upto", F.sum("_c").over(w))
-    totals = counted.groupBy(key).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
-    return upto.join(totals, key).filter(F.col("_upto") > F.floor(F.col("n") * 99 / 100)).groupBy(key).agg(
-        F.first("n").alias("n"), F.first("mean").alias("mean"), F.min(value).alias("p99"))
+        return known.groupBy(key).agg(F.avg("_v").alias("mean"), F.percentile_approx("_v", 0.99, SKETCH_ACCURACY).alias("p99"))
+    slack = 4 / SKETCH_ACCURACY
+    bounds = F.percentile_approx("_v", [0.99 - slack, min(0.99 + slack, 1.0)], SKETCH_ACCURACY)
+    totals = known.groupBy(key).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), bounds.alias("_b")).select(
+        key, "n", "mean", F.floor(F.col("n") * 99 / 100).alias("_at"), F.get("_b", F.lit(0)).alias("_lo"), F.get("_b", F.lit(1)).alias("_hi"))
+    share = F.coalesce(F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    # -1: below the bracket, BINS: above it; both are one row a step
+    part = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), BINS).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    binned = known.join(totals, key).withColumn("_part", part.cast("int"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy("_part"))
+    parts = binned.groupBy(key, "_part").agg(F.count("*").alias("_c")).withColumn("_before", upto - F.col("_c"))
+    chosen = parts.join(totals.select(key, "_at"), key).filter(
+        (F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c"))).select(key, "_part", "_before")
+    inside = binned.join(chosen, [key, "_part"]).groupBy(key, "_v").agg(
+        F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_at").alias("_at"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+    reached = F.sum("_c").over(Window.partitionBy(key).orderBy("_v")) + F.col("_before")
+    return inside.withColumn("_upto", reached).filter(F.col("_upto") > F.col("_at")).groupBy(key).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("_v").alias("p99"))
 
 
 def rank_overlap(a: DataFrame, b: DataFrame, item: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from keeprank import settings as S
 from keeprank.functions import scoring
@@ -60,35 +60,60 @@ def dedup_within(events: DataFrame, keys: list[str], delay: str = "4 hours") ->
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def seen_items(events: DataFrame, slots: int = 4, slot_seconds: int = 3600, delay: str = "1 hour", parts: int = 4) -> DataFrame:
-    """Slot-exact check whether (user, item) was met in the current or the previous ``slots - 1`` slots.
+class SeenSlots(StatefulProcessor):
+    """Whether an item was met in the current or the previous slots; state is the last slot of each item that still counts.
 
-    State is kept per user and item part (few groups with vectorised work in each, and a busy user is still
-    split): the last slot of every item that can matter to an event at or after the watermark.
+    A timer at the end of the newest slot that counts drops what an event at or after the watermark can no longer need.
     """
 
-    def check(key, frames, state: GroupState):
-        floor = state.getCurrentWatermarkMs() // (slot_seconds * 1000) - slots
-        kept = dict(zip(*state.get)) if state.exists else {}
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, slots: int, slot_seconds: int):
+        self.slots, self.slot_seconds = slots, slot_seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.items = handle.getListState("items", "item_id BIGINT, slot BIGINT")
+
+    def keep(self, kept: dict, watermark_ms: int) -> None:
+        floor = watermark_ms // (self.slot_seconds * 1000) - self.slots
+        kept = {item: int(slot) for item, slot in kept.items() if slot > floor}
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not kept:
+            self.items.clear()
             return
-        pdf = pd.concat(list(frames)).sort_values(["item_id", "ts", "event_id"])
-        slot = pdf["ts"].astype("datetime64[s]").astype("int64") // slot_seconds
+        self.items.put(list(kept.items()))
+        oldest = (min(kept.values()) + self.slots) * self.slot_seconds * 1000
+        self.handle.registerTimer(max(oldest, watermark_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = dict(self.items.get())
+        pdf = pd.concat(list(rows)).sort_values(["item_id", "ts", "event_id"])
+        slot = pdf["ts"].astype("datetime64[s]").astype("int64") // self.slot_seconds
         before = slot.groupby(pdf["item_id"]).shift(1)
         before = before.fillna(pdf["item_id"].map(kept)).astype("float64")
-        kept.update(slot.groupby(pdf["item_id"]).max().to_dict())
-        kept = {item: int(s) for item, s in kept.items() if s > floor}
-        state.update((list(kept), list(kept.values())))
-        expiry = (max(kept.values(), default=0) + slots) * slot_seconds * 1000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        seen = (slot - before).between(0, slots - 1)
+        newest = slot.groupby(pdf["item_id"]).max()
+        kept.update({item: max(s, kept.get(item, s)) for item, s in newest.to_dict().items()})
+        self.keep(kept, timerValues.getCurrentWatermarkInMs())
+        seen = (slot - before).between(0, self.slots - 1)
         yield pd.DataFrame({"event_id": pdf["event_id"], "slot": slot, "seen_recently": seen.astype(bool)})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.keep(dict(self.items.get()), timerValues.getCurrentWatermarkInMs())
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def seen_items(events: DataFrame, slots: int = 4, slot_seconds: int = 3600, delay: str = "1 hour", parts: int = 4) -> DataFrame:
+    """Slot-exact check whether (user, item) was met in the current or the previous ``slots - 1`` slots.
+
+    State is kept per user and item part (few groups with vectorised work in each, and a busy user is still
+    split) and expires by event time.
+    """
     split = events.withWatermark("ts", delay).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    return split.groupBy("user_id", "part").applyInPandasWithState(
-        check, "event_id BIGINT, slot BIGINT, seen_recently BOOLEAN", "items ARRAY<BIGINT>, slots ARRAY<BIGINT>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return split.groupBy("user_id", "part").transformWithStateInPandas(
+        SeenSlots(slots, slot_seconds), "event_id BIGINT, slot BIGINT, seen_recently BOOLEAN", "append", "EventTime")
 
 
 def latest(updates: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
@@ -96,23 +121,35 @@ def latest(updates: DataFrame, key: str, values: list[str], order: list[str]) ->
     return updates.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(key, "_v.*")
 
 
-def divergence(steps: DataFrame, window: int = S.DIVERGENCE_WINDOW, threshold: float = S.DIVERGENCE_THRESHOLD) -> DataFrame:
-    """Rolling mean of the last ``window`` divergences per (user, cohort) pair, with the alarm flag."""
+class RollingMean(StatefulProcessor):
+    """Mean of the last values of a key, held as a list; with ``ttl_ms`` the state of a silent key goes after that time."""
 
-    def roll(key, frames, state: GroupState):
-        pdf = pd.concat(list(frames)).sort_values("seq")
-        past = list(state.get[0]) if state.exists else []
-        rows = []
+    def __init__(self, window: int, threshold: float, ttl_ms: int | None):
+        self.window, self.threshold, self.ttl_ms = window, threshold, ttl_ms
+
+    def init(self, handle) -> None:
+        self.recent = handle.getListState("recent", "divergence DOUBLE", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        past, out = [v[0] for v in self.recent.get()], []
         for seq, value in zip(pdf["seq"], pdf["divergence"]):
-            past = [*past, float(value)][-window:]
+            past = [*past, float(value)][-self.window:]
             mean = sum(past) / len(past)
-            rows.append((key[0], key[1], int(seq), mean, mean > threshold))
-        state.update((past,))
-        yield pd.DataFrame(rows, columns=["user_id", "ref_id", "seq", "mean_divergence", "alarm"])
+            out.append((key[0], key[1], int(seq), mean, mean > self.threshold))
+        self.recent.put([(v,) for v in past])
+        yield pd.DataFrame(out, columns=["user_id", "ref_id", "seq", "mean_divergence", "alarm"])
+
+    def close(self) -> None:
+        pass
+
 
-    return steps.groupBy("user_id", "ref_id").applyInPandasWithState(
-        roll, "user_id BIGINT, ref_id BIGINT, seq BIGINT, mean_divergence DOUBLE, alarm BOOLEAN",
-        "recent ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout)
+def divergence(steps: DataFrame, window: int = S.DIVERGENCE_WINDOW, threshold: float = S.DIVERGENCE_THRESHOLD,
+               ttl_ms: int | None = 90 * 86_400_000) -> DataFrame:
+    """Rolling mean of the last ``window`` divergences per (user, cohort) pair, with the alarm flag. A pair without steps for ``ttl_ms`` starts anew."""
+    return steps.groupBy("user_id", "ref_id").transformWithStateInPandas(
+        RollingMean(window, threshold, ttl_ms), "user_id BIGINT, ref_id BIGINT, seq BIGINT, mean_divergence DOUBLE, alarm BOOLEAN",
+        "append", "ProcessingTime")
 
 
 def fraud_alerts(purchases: DataFrame, days: int = 90, min_rows: int = 5, threshold: float = S.FRAUD_SUSPECT) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from keeprank.schemas import RAW
 from keeprank.session import pin_utc, scratch_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet input as a file stream."""
@@ -33,6 +37,17 @@ def stage(df: DataFrame, name: str) -> str:
     return path
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which states with timers and time to live need."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def _drain(writer, name: str) -> None:
     query = writer.trigger(availableNow=True).queryName(f"{name}_{time.time_ns()}").start()
     query.awaitTermination()
@@ -40,17 +55,17 @@ def _drain(writer, name: str) -> None:
         raise query.exception()
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Append-mode run into parquet; returns the finished rows."""
+def run_append(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Append-mode run into parquet; returns the finished rows. A run with the ``base`` folder of an earlier one goes on from there."""
     spark = stream.sparkSession
-    out, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
+    out, log = (f"{base}/rows", f"{base}/log") if base else (scratch_path(spark, name), scratch_path(spark, f"{name}-log"))
     _drain(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log), name)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, name: str, handler, mode: str = "append") -> None:
-    """``handler(batch_df, batch_id)`` per micro-batch."""
-    log = scratch_path(stream.sparkSession, f"{name}-log")
+def run_batches(stream: DataFrame, name: str, handler, mode: str = "append", log: str | None = None) -> None:
+    """``handler(batch_df, batch_id)`` per micro-batch. A run with the ``log`` folder of an earlier one goes on from there."""
+    log = log or scratch_path(stream.sparkSession, f"{name}-log")
     _drain(stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(handler), name)
 
 
