@@ -15,7 +15,7 @@ from keeprank.schemas import ENVELOPE
 from keeprank.session import scratch_path
 from keeprank.sources import tables as T
 from keeprank.sources.interactions import drop_stale
-from keeprank.streaming import jobs, messages, runner
+from keeprank.streaming import jobs, messages, runner, topic_log
 
 FAR = "2200-01-01 00:00:00"
 
@@ -243,6 +243,20 @@ def event_stream(spark, d):
     return out.select("user_id", "event_type", "item_id", F.unix_micros("ts").alias("ts"))
 
 
+@query("event_log", """
+SELECT user_id::VARCHAR AS user_id, event_type, item_id::VARCHAR AS item_id, epoch_us(ts) AS ts FROM interactions WHERE event_id % 40 <> 3 AND event_id % 50 <> 7""")
+def event_log(spark, d):
+    """Events through a log of topics with offsets. Both the stream into it and the one out of it run twice, on the same checkpoints."""
+    sent = envelopes(spark, d)
+    arrivals, log, checkpoint, base = (scratch_path(spark, n) for n in ("arrivals", "log", "log-writer", "log-reader"))
+    for half in (0, 1):
+        sent.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.mode("append").parquet(arrivals)
+        runner.drain(topic_log.log_writer(runner.folder_stream(spark, arrivals, ENVELOPE), log, checkpoint), "log-writer")
+        stream = topic_log.log_stream(spark, log, ["user-events"], startingOffsets="earliest")
+        out = runner.run_append(messages.good_rows(stream, "user-events"), "log-reader", base)
+    return out.select("user_id", "event_type", "item_id", F.unix_micros("ts").alias("ts"))
+
+
 @query("route_by_topic", """
 SELECT CASE WHEN event_id % 40 = 3 THEN 'other' ELSE 'user-events' END AS topic,
        CASE WHEN event_id % 40 = 3 THEN 'unknown topic' WHEN event_id % 50 = 7 THEN 'unreadable value' ELSE 'ok' END AS outcome, count(*) AS n FROM interactions GROUP BY ALL""")

@@ -48,7 +48,8 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(STATE_STORE, before)
 
 
-def _drain(writer, name: str) -> None:
+def drain(writer, name: str) -> None:
+    """Run a stream over all input that is there now."""
     query = writer.trigger(availableNow=True).queryName(f"{name}_{time.time_ns()}").start()
     query.awaitTermination()
     if query.exception() is not None:
@@ -59,14 +60,14 @@ def run_append(stream: DataFrame, name: str, base: str | None = None) -> DataFra
     """Append-mode run into parquet; returns the finished rows. A run with the ``base`` folder of an earlier one goes on from there."""
     spark = stream.sparkSession
     out, log = (f"{base}/rows", f"{base}/log") if base else (scratch_path(spark, name), scratch_path(spark, f"{name}-log"))
-    _drain(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log), name)
+    drain(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log), name)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_batches(stream: DataFrame, name: str, handler, mode: str = "append", log: str | None = None) -> None:
     """``handler(batch_df, batch_id)`` per micro-batch. A run with the ``log`` folder of an earlier one goes on from there."""
     log = log or scratch_path(stream.sparkSession, f"{name}-log")
-    _drain(stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(handler), name)
+    drain(stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(handler), name)
 
 
 def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
