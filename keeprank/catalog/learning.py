@@ -11,9 +11,8 @@ from keeprank.catalog.joins import md5
 from keeprank.catalog.projections import CENTROID_SQL, NAIVE_SQL, USER_VECTOR_SQL, engine_case, naive_forecast, user_vectors
 from keeprank.catalog.windows import LIFE_SQL, detected_events
 from keeprank.functions import context, scoring
-from keeprank.operators import bandit, demand, elasticity, factors, features, fraud, learned, lifestage, ranking, sampling
+from keeprank.operators import bandit, demand, elasticity, factors, features, fraud, learned, lifestage, ranking, sampling, towers
 from keeprank.operators import similarity as sim
-from keeprank.session import write_and_read
 from keeprank.sources import tables as T
 
 NOW = "2024-02-01 00:00:00"
@@ -53,16 +52,33 @@ def cf_predict(spark, d):
     return out.select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("learned_two_tower")
-def learned_two_tower(spark, d):
+TOWER_FEATURES = ["user_id", "user_segment", "price_sensitivity"], ["item_id", "category", "brand", "price_level", "rating_level"]
+
+
+def trained_towers(spark, d):
+    """Towers of the whole history, with the tables of users and items that they read."""
     users = T.users(spark, d).select("user_id", "user_segment", "price_sensitivity")
-    items = T.items(spark, d).select("item_id", "category", "brand", "price", "rating")
+    items = T.items(spark, d).select("item_id", "category", "brand", F.floor(F.log2(F.col("price") + 1) * 4).alias("price_level"),
+                                     F.round("rating").alias("rating_level"))
     known = T.history(spark, d)
+    return towers.train(known, users, items, *TOWER_FEATURES, epochs=8), known, users, items
+
+
+@query("learned_two_tower")
+def learned_two_tower(spark, d):
+    made, known, users, items = trained_towers(spark, d)
     negatives = sampling.negative_samples(known, T.items(spark, d), 4).select("user_id", "item_id", F.lit(0.0).alias("label"))
-    rows = known.withColumn("label", F.lit(1.0)).unionByName(negatives).join(users, "user_id").join(items, "item_id")
-    rows = write_and_read(rows, "tower-rows")
-    scored = learned.two_tower_scores(rows, rows, ["user_segment", "price_sensitivity", "category", "brand"], ["price", "rating"])
-    return scored.select("user_id", "item_id", "label", "prediction")
+    rows = known.select("user_id", "item_id", F.lit(1.0).alias("label")).unionByName(negatives)
+    return towers.scores(made, rows, users, items).select("user_id", "item_id", "label", "prediction")
+
+
+@query("two_tower_vectors")
+def two_tower_vectors(spark, d):
+    """Unit vectors of all users and items."""
+    made, _, users, items = trained_towers(spark, d)
+    one = lambda rows, side: made.vectors(rows, side).select(
+        F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_vector").alias("vector"))
+    return one(users, "user").unionByName(one(items, "item"))
 
 
 START, ASOF = "2024-01-01", "2024-01-24"

@@ -10,21 +10,6 @@ from keeprank.operators.features import mean_vectors
 from keeprank.operators.ranking import top_k
 
 
-def two_tower_scores(train: DataFrame, score: DataFrame, categorical: list[str], numeric: list[str],
-                     label: str = "label", hash_size: int = 1024, factors: int = 4, seed: int = 42) -> DataFrame:
-    """Factorisation machine over hashed user- and item-side features: the dot of the two sides plus linear terms."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import FeatureHasher
-    from pyspark.ml.regression import FMRegressor
-
-    hasher = FeatureHasher(inputCols=[*categorical, *numeric], categoricalCols=categorical, numFeatures=hash_size,
-                           outputCol="features")
-    machine = FMRegressor(featuresCol="features", labelCol=label, factorSize=factors, maxIter=15, stepSize=0.05,
-                          regParam=0.01, seed=seed)
-    model = Pipeline(stages=[hasher, machine]).fit(train.select(*categorical, *numeric, label))
-    return model.transform(score).drop("features")
-
-
 def linear_attributions(rows: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     """Exact contributions of a linear score: coefficient · (value − column mean), as name and value arrays."""
     means = rows.agg(*[F.avg(c).alias(c) for c in coefficients]).first()
