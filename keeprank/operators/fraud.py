@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keeprank import settings as S
-from keeprank.operators.features import mean_vectors
 from keeprank.operators.graph import connected_components
-from keeprank.operators.similarity import similar_sets, vector_join
-from keeprank.session import cut_lineage, write_and_read
+from keeprank.operators.similarity import link_stars, link_sums, similar_sets, vector_join
+from keeprank.session import write_and_read
 
 
 def seller_indicators(reviews: DataFrame) -> DataFrame:
@@ -53,6 +52,11 @@ def timing_pairs(reviews: DataFrame, slot: Column, slots: int, threshold: float
                         F.col("similarity").alias("correlation"))
 
 
+def timing_stars(reviews: DataFrame, slot: Column, slots: int, threshold: float = S.TIMING_CORRELATION) -> DataFrame:
+    """(seller_a, seller_b): few edges that connect the same sellers as all of ``timing_pairs``."""
+    return link_stars(timing_vectors(reviews, slot, slots), "seller_id", "timing", threshold).toDF("seller_a", "seller_b")
+
+
 def candidate_map(items: DataFrame, indicators: DataFrame) -> DataFrame:
     """item -> seller -> probability; sellers without an indicator count as 0."""
     risk = indicators.select("seller_id", "probability")
@@ -69,17 +73,20 @@ def suspicion(indicators: DataFrame) -> DataFrame:
         0.3 * flat + 0.3 * narrow + 0.2 * high + 0.2 * F.col("burstiness"))))
 
 
-def smooth_scores(features: DataFrame, pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Neighbour averaging with a residual: v <- (v + mean of neighbours) / 2, for ``features(seller_id, vector)``."""
-    links = pairs.select("seller_a", "seller_b").union(pairs.select("seller_b", "seller_a")).distinct().toDF("node", "nbr")
-    links = write_and_read(links, "seller-links")
-    state = features.select("seller_id", "vector")
+def smooth_scores(features: DataFrame, timing: DataFrame, width: int, threshold: float = S.TIMING_CORRELATION, rounds: int = 3) -> DataFrame:
+    """Neighbour averaging with a residual: v <- (v + mean of neighbours) / 2, for ``features(seller_id, vector)``.
+
+    Neighbours are the pairs of ``timing(seller_id, timing)`` that reach ``threshold``; their vectors are summed where
+    the pairs are found, so no pair is written.
+    """
+    state = features.select("seller_id", "vector").join(timing, "seller_id", "left")
     for _ in range(rounds):
-        state = cut_lineage(state)
-        heard = mean_vectors(links.join(state.withColumnRenamed("seller_id", "nbr"), "nbr"), "node", "vector")
-        state = state.join(heard, state.seller_id == heard.node, "left").select(
-            "seller_id", F.coalesce(F.zip_with("vector", "mean_vector", lambda a, b: (a + b) / 2), F.col("vector")).alias("vector"))
-    return state
+        state = write_and_read(state, "seller-scores")
+        heard = link_sums(state.filter("vector IS NOT NULL"), "seller_id", "timing", "vector", width, threshold)
+        mean = F.transform("sums", lambda v: v / F.col("n"))
+        state = state.join(heard, "seller_id", "left").select(
+            "seller_id", F.coalesce(F.zip_with("vector", mean, lambda a, b: (a + b) / 2), F.col("vector")).alias("vector"), "timing")
+    return state.select("seller_id", "vector")
 
 
 def fraud_rings(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 """Faults that only larger or folder-shaped tables show."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from __spark_entry__ import QUERIES
+from keeprank.operators import fraud, similarity
 
 
 def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
@@ -13,3 +18,69 @@ def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
 def test_stream_without_rows_gives_none(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["stream_latest_embedding"](spark, str(tmp_path)).count() == 0
+
+
+def vector_table(spark, n=90, width=6):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-3, 4, (n, width)).astype(float)
+    m[n // 2:n // 2 + 12] = m[0]  # one group of equal vectors
+    rows = [(i, v.tolist(), [float(i), 1.0]) for i, v in enumerate(m)]
+    return m, spark.createDataFrame(rows + [(n, None, [0.0, 1.0])], "id long, v array<double>, load array<double>")
+
+
+def linked(m, threshold):
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    links = u @ u.T >= threshold - 1e-12
+    np.fill_diagonal(links, False)
+    return links
+
+
+def test_a_group_of_many_links_comes_out_tile_by_tile(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_CELLS", 200)
+    _, table = vector_table(spark)
+    points = table.filter("v IS NOT NULL").select(F.col("id").alias("i_id"), F.col("v").alias("i_vec"), F.lit(None).cast("array<double>").alias("load"))
+    tiles = similarity.Tiles(points.selectExpr("i_id AS q_id", "i_vec AS q_vec"), points, "ip", None, 2.0, 1, 1000)
+
+    def sizes(q_ids, i_ids, load, tiles):
+        yield pa.RecordBatch.from_arrays([pa.array([s.size for _, s in tiles], pa.int64())], ["cells"])
+
+    cells = [r[0] for r in tiles.apply(sizes, "cells bigint").collect()]
+    assert sum(cells) == 90 * 90 and max(cells) <= 200
+
+
+def test_threshold_pairs_of_one_dense_block(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_CELLS", 200)
+    m, table = vector_table(spark)
+    got = {(r[0], r[1]) for r in similarity.vector_join(table, table, "id", "id", "v", "v", min_similarity=0.5, same_table=True).collect()}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(linked(m, 0.5))))}
+
+
+def test_rings_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_CELLS", 100)
+    m, table = vector_table(spark)
+    links, part = linked(m, 0.8), np.arange(len(m))
+    while True:
+        least = np.where(links, part[None, :], len(m)).min(axis=1)
+        after = np.minimum(part, least)
+        if (after == part).all():
+            break
+        part = after
+    stars = similarity.link_stars(table, "id", "v", 0.8, block_rows=25, pivots=3)
+    assert stars.count() < links.sum()
+    got = {r["seller_id"]: r["ring_id"] for r in fraud.fraud_rings(stars.toDF("seller_a", "seller_b")).collect()}
+    assert got == {int(i): int(part[i]) for i in np.flatnonzero(links.any(axis=1))}
+
+
+def test_neighbour_sums_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_CELLS", 100)
+    m, table = vector_table(spark)
+    links, load = linked(m, 0.6), np.column_stack([np.arange(len(m)), np.ones(len(m))])
+    got = {r["id"]: (r["n"], r["sums"]) for r in similarity.link_sums(table, "id", "v", "load", 2, 0.6, block_rows=25, pivots=3).collect()}
+    assert got == {int(i): (int(links[i].sum()), (links[i] @ load).tolist()) for i in np.flatnonzero(links.any(axis=1))}
+    state = load
+    for _ in range(3):
+        n = links.sum(axis=1)
+        state = np.where(n[:, None] > 0, (state + links @ state / np.maximum(n, 1)[:, None]) / 2, state)
+    scores = fraud.smooth_scores(table.selectExpr("id AS seller_id", "load AS vector"), table.selectExpr("id AS seller_id", "v AS timing"), 2, 0.6)
+    for r in scores.filter(f"seller_id < {len(m)}").collect():
+        assert np.allclose(r["vector"], state[r["seller_id"]])
