@@ -47,7 +47,7 @@ def timing_vectors(reviews: DataFrame, slot: Column, slots: int) -> DataFrame:
 def timing_pairs(reviews: DataFrame, slot: Column, slots: int, threshold: float = S.TIMING_CORRELATION) -> DataFrame:
     vectors = timing_vectors(reviews, slot, slots)
     found = vector_join(vectors, vectors, "seller_id", "seller_id", "timing", "timing", min_similarity=threshold,
-                        same_table=True)
+                        same_table=True, digits=None)
     return found.select(F.col("seller_id").alias("seller_a"), F.col("seller_id_b").alias("seller_b"),
                         F.col("similarity").alias("correlation"))
 

@@ -55,6 +55,17 @@ def test_threshold_pairs_of_one_dense_block(spark, monkeypatch):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(linked(m, 0.5))))}
 
 
+def test_correlations_are_not_cut_before_they_are_rounded(spark):
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 9, (30, 12))
+    rows = [(int(s), f"1995-{month + 1:02d}-03") for s, per in enumerate(counts) for month, n in enumerate(per) for _ in range(n)]
+    reviews = spark.createDataFrame(rows, "seller_id long, day string").withColumn("ts", F.col("day").cast("timestamp"))
+    want = np.corrcoef(counts)
+    got = {(r[0], r[1]): r[2] for r in fraud.timing_pairs(reviews, F.month("ts") - 1, 12, 0.2).collect()}
+    assert set(got) == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(want >= 0.2, 1)))}
+    assert all(abs(v - want[k]) < 1e-12 for k, v in got.items())
+
+
 def test_rings_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TILE_CELLS", 100)
     m, table = vector_table(spark)
