@@ -98,10 +98,15 @@ def fraud_rings(pairs: DataFrame) -> DataFrame:
 
 
 def suspicious_reviews(reviews: DataFrame, days: int = 7) -> DataFrame:
-    """Rule score per (seller, time window): tight timing, high ratings, few prefixes."""
+    """Rule score per (seller, time window): tight timing, high ratings, few prefixes.
+
+    The spread is taken of the microseconds since the window began and rounded to microseconds, so a deviation of exactly
+    one day is never tight, in whatever order the reviews come.
+    """
     window = F.floor(F.unix_date(F.to_date("ts")) / days)
+    since = (F.unix_micros(F.col("ts").cast("timestamp")) - window * F.lit(days * 86_400_000_000)) / F.lit(1e6)
     grouped = reviews.groupBy("seller_id", window.alias("window")).agg(
-        F.count("*").alias("reviews"), F.stddev_pop(F.unix_seconds("ts").cast("double")).alias("spread"),
+        F.count("*").alias("reviews"), F.round(F.stddev_pop(since), 6).alias("spread"),
         F.avg("rating").alias("avg_rating"), F.count_distinct("ip_group").alias("prefixes"))
     tight = (F.col("spread") < 86400).cast("int")
     high = (F.round("avg_rating", 9) >= 4).cast("int")

@@ -95,3 +95,11 @@ def test_neighbour_sums_need_no_pairs(spark, monkeypatch):
     scores = fraud.smooth_scores(table.selectExpr("id AS seller_id", "load AS vector"), table.selectExpr("id AS seller_id", "v AS timing"), 2, 0.6)
     for r in scores.filter(f"seller_id < {len(m)}").collect():
         assert np.allclose(r["vector"], state[r["seller_id"]])
+
+
+def test_spread_keeps_parts_of_seconds(spark):
+    rows = [(1, "1997-08-01 00:00:00.9"), (1, "1997-08-03 00:00:00.1"), (2, "1997-08-01 00:00:00"), (2, "1997-08-03 00:00:00")]
+    reviews = spark.createDataFrame(rows, "seller_id long, at string").select(
+        "seller_id", F.col("at").cast("timestamp").alias("ts"), F.lit(1.0).alias("rating"), F.monotonically_increasing_id().alias("ip_group"))
+    got = {r["seller_id"]: r["score"] for r in fraud.suspicious_reviews(reviews).collect()}
+    assert abs(got[1] - 1 / 3) < 1e-12 and got[2] == 0
