@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from keeprank.functions.arrays import cosine
 from keeprank.functions.hashing import md5_60
 from keeprank.operators.ranking import top_k
-from keeprank.session import scratch_path, write_and_read
+from keeprank.session import scratch_path, small_table, write_and_read
 
 SAMPLE_ROWS = 40_000
 MOST_LISTS = 4_096
 PART_DIMS = 4
 CODES = 256
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 512
+GROUP_ROWS = 131_072
+QUERY_ROWS = 4_096
+SCORE_CELLS = 1 << 21
 TUNING_QUERIES = 200
 DIGITS = 9
 
@@ -217,39 +219,63 @@ def places(index: VectorIndex, asked: pd.DataFrame, probes: int, truth: pd.DataF
 def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int, rerank: int) -> DataFrame:
     """(query_id, item_id, similarity, rank): approximate top ``k`` by cosine for ``queries(query_id, embedding)``.
 
-    Each query opens its ``probes`` nearest lists. A task scores a block of queries against a block of codes by look-ups in distance tables and
-    keeps ``rerank`` of them; the best ``rerank`` over all blocks are joined with their vectors and ranked by the exact cosine.
+    Each query opens its ``probes`` nearest lists. Lists are packed into groups of about ``GROUP_ROWS`` codes, and a query travels once to each
+    group that holds a list it opens; a task scores a block of queries against the lists of a group by look-ups in distance tables and keeps the
+    best ``rerank`` of each query over the whole group. The best ``rerank`` over all groups are joined with their vectors and ranked by the exact cosine.
     """
-    codec = index.codec
+    codec, spark = index.codec, queries.sparkSession
     asked = queries.filter(usable(F.col("embedding"))).select("query_id", "embedding")
     kind = asked.schema["query_id"].dataType.simpleString()
     item_kind = index.items.schema["item_id"].dataType.simpleString()
+    sizes = index.codes.groupBy("list", "block").agg(F.count("*").alias("n")).toPandas().sort_values(["list", "block"])
+    group = ((sizes["n"].cumsum() - sizes["n"]) // GROUP_ROWS).to_numpy(dtype=np.int64)
+    member = np.zeros((len(codec.centers), int(group.max()) + 1 if len(group) else 1))
+    member[sizes["list"].to_numpy(dtype=np.int64), group] = 1
+    q_blocks = max(1, -(-asked.count() // max(64, min(QUERY_ROWS, SCORE_CELLS // rerank))))
+
+    def opened(q: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(q), len(codec.centers)), dtype=bool)
+        np.put_along_axis(out, codec.lists_of(q)[:, :probes], True, axis=1)
+        return out
 
     def route(batches):
         for batch in batches:
-            if len(batch):
-                look = codec.lists_of(_stack(batch["embedding"]))[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), look.shape[1]), "list": look.reshape(-1)})
-
-    visits = write_and_read(asked.mapInPandas(route, f"query_id {kind}, list int"), "index-visits")
-    sizes = index.codes.groupBy("list").agg((F.max("block") + 1).alias("blocks")).join(
-        visits.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("q_blocks")), "list")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    looks = visits.join(sizes, "list").join(asked, "query_id").select(
-        "list", "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int").alias("q_block"),
-        spread("blocks").alias("block"))
-    coded = index.codes.join(sizes.select("list", "q_blocks"), "list").select(
-        F.col("list").alias("l"), F.col("block").alias("b"), "item_id", "code", spread("q_blocks").alias("qb"))
+            for lo in range(0, len(batch), QUERY_ROWS):
+                some = batch.iloc[lo:lo + QUERY_ROWS]
+                row, g = np.nonzero(opened(_stack(some["embedding"])) @ member)
+                yield some.iloc[row].assign(g=g.astype(np.int32))
+
+    looks = asked.mapInPandas(route, f"query_id {kind}, embedding {asked.schema['embedding'].dataType.simpleString()}, g int").withColumn(
+        "q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
+    where = list(zip(sizes["list"].tolist(), sizes["block"].tolist(), group.tolist()))
+    schema = "list INT, block INT, l BIGINT"
+    groups = small_table(spark, where, schema) if where else spark.createDataFrame([], schema)
+    coded = index.codes.join(groups, ["list", "block"]).select(
+        F.col("l").cast("int").alias("l"), "list", "item_id", "code",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"))
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": q["query_id"][:0], "item_id": c["item_id"][:0], "near": pd.Series([], dtype=float)})
-        codes = np.frombuffer(b"".join(c["code"]), dtype=np.uint8).reshape(len(c), -1)
-        s = codec.scores(_stack(q["embedding"]), int(q["list"].iloc[0]), codes)
-        r, i = best(s, rerank)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[r], "item_id": c["item_id"].to_numpy()[i], "near": s[r, i]})
-
-    found = looks.groupBy("list", "block", "q_block").cogroup(coded.groupBy("l", "b", "qb")).applyInPandas(
+        vectors, ids = _stack(q["embedding"]), c["item_id"].to_numpy()
+        codes, home = np.frombuffer(b"".join(c["code"]), dtype=np.uint8).reshape(len(c), -1), c["list"].to_numpy()
+        order = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+        look, held = opened(vectors), min(rerank, len(c))
+        near, at = np.full((len(q), held), -np.inf), np.zeros((len(q), held), dtype=np.int64)
+        for a, b in zip(edges[:-1], edges[1:]):
+            own, h = order[a:b], int(home[order[a]])
+            rows = np.flatnonzero(look[:, h])
+            step = max(1, SCORE_CELLS // (len(own) + held))
+            for some in (rows[lo:lo + step] for lo in range(0, len(rows), step)):
+                s = np.hstack([near[some], codec.scores(vectors[some], h, codes[own])])
+                place = np.hstack([at[some], np.broadcast_to(own, (len(some), len(own)))])
+                col = np.argpartition(-s, held - 1, axis=1)[:, :held]
+                near[some], at[some] = np.take_along_axis(s, col, axis=1), np.take_along_axis(place, col, axis=1)
+        r, i = np.nonzero(near > -np.inf)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[r], "item_id": ids[at[r, i]], "near": near[r, i]})
+
+    found = looks.groupBy("g", "q_block").cogroup(coded.groupBy("l", "qb")).applyInPandas(
         tile, f"query_id {kind}, item_id {item_kind}, near double")
     kept = top_k(found, ["query_id"], [F.desc("near"), F.asc("item_id")], rerank, "place").select("query_id", "item_id")
     exact = kept.join(asked.select("query_id", F.col("embedding").alias("q")), "query_id").join(

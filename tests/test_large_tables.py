@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
-from keeprank.operators import fraud, similarity
+from keeprank.operators import fraud, similarity, vector_index
 
 
 def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
@@ -103,3 +103,18 @@ def test_spread_keeps_parts_of_seconds(spark):
         "seller_id", F.col("at").cast("timestamp").alias("ts"), F.lit(1.0).alias("rating"), F.monotonically_increasing_id().alias("ip_group"))
     got = {r["seller_id"]: r["score"] for r in fraud.suspicious_reviews(reviews).collect()}
     assert abs(got[1] - 1 / 3) < 1e-12 and got[2] == 0
+
+
+def test_grouped_lists_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((300, 8))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "item_id long, embedding array<double>")
+    asked = items.filter("item_id % 3 = 0").withColumnRenamed("item_id", "query_id")
+    index = vector_index.build_index(items, lists=12)
+    found = []
+    for group, queries, cells in ((131_072, 4_096, 1 << 21), (60, 64, 50), (1, 64, 50)):
+        monkeypatch.setattr(vector_index, "GROUP_ROWS", group)
+        monkeypatch.setattr(vector_index, "QUERY_ROWS", queries)
+        monkeypatch.setattr(vector_index, "SCORE_CELLS", cells)
+        found.append(sorted(map(tuple, vector_index.search_index(index, asked, 5, 4, 20).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 500
