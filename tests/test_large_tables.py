@@ -2,6 +2,8 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
@@ -118,3 +120,21 @@ def test_grouped_lists_give_the_same_neighbours(spark, monkeypatch):
         monkeypatch.setattr(vector_index, "SCORE_CELLS", cells)
         found.append(sorted(map(tuple, vector_index.search_index(index, asked, 5, 4, 20).collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 500
+
+
+def test_near_pairs_of_buckets_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((120, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(200 + i, m[0].tolist()) for i in range(30)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    far = np.linalg.norm(u[:, None] - u[None], axis=2)
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(far < 0.9, 1)))}
+    monkeypatch.setattr(similarity, "TILE_CELLS", 100)
+    units = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(u)], ["item_id", "v"])
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=4, seed=42).fit(units)
+    want = sorted((r[0], r[1]) for r in model.approxSimilarityJoin(units, units, 0.9, "distance").selectExpr(
+        "datasetA.item_id AS a", "datasetB.item_id AS b").filter("a < b").collect())
+    some = [sorted((r[0], r[1]) for r in similarity.lsh_pairs(items, 0.9, block_rows=n).collect()) for n in (10, 1000)]
+    assert some[0] == some[1] == want and set(want) <= near
+    assert all(abs(r["distance"] - far[r["item_a"], r["item_b"]]) < 1e-9 for r in similarity.lsh_pairs(items, 0.9).collect())
