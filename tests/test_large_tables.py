@@ -138,3 +138,20 @@ def test_near_pairs_of_buckets_in_blocks(spark, monkeypatch):
     some = [sorted((r[0], r[1]) for r in similarity.lsh_pairs(items, 0.9, block_rows=n).collect()) for n in (10, 1000)]
     assert some[0] == some[1] == want and set(want) <= near
     assert all(abs(r["distance"] - far[r["item_a"], r["item_b"]]) < 1e-9 for r in similarity.lsh_pairs(items, 0.9).collect())
+
+
+def broadcast_scans(df, names):
+    """Scans of the named inputs that are broadcast as they are, without a shuffle or a join in between."""
+    path, found = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        path = [(n, text) for n, text in path if n < depth] + [(depth, line)]
+        steps = [text for _, text in path if "Exchange" in text or "Join" in text]
+        if "FileScan" in line and any(f"/{n}.parquet" in line for n in names) and steps and "BroadcastExchange" in steps[-1]:
+            found.append(line)
+    return found
+
+
+def test_contexts_do_not_broadcast_items_or_users(spark):
+    """Their files are small for their rows, so 60 copies still pass the threshold and fill the driver."""
+    assert broadcast_scans(QUERIES["context_compare"](spark, "/root/testdata/sf0.001"), ["part", "customer"]) == []
