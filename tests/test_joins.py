@@ -207,3 +207,12 @@ def test_bandit(spark):
         assert r["ucb"] == pytest.approx(x @ np.linalg.solve(a, b) + np.sqrt(x @ np.linalg.solve(a, x)), abs=1e-8)
     only = bandit.top_arms(ctx, arms, 2, allowed=spark.createDataFrame([("a1",)], "arm_id STRING"))
     assert {r["arm_id"] for r in only.collect()} == {"a1"}
+
+
+def test_degree_shuffles_a_pair_once(spark):
+    e = spark.createDataFrame([("u:1", "p:1"), ("p:1", "u:1"), ("u:1", "p:2"), ("u:1", "u:1"), ("u:1", "p:1")], "src STRING, dst STRING")
+    out = graph.degree(e)
+    assert {r["node"]: r["degree"] for r in out.collect()} == {"u:1": 3, "p:1": 1, "p:2": 1}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {kind: [i for i, line in enumerate(plan) if kind in line] for kind in ("Generate", "Aggregate")}
+    assert at["Generate"][0] < at["Aggregate"][-1], "both ends are opened after the pairs are distinct"
