@@ -196,3 +196,12 @@ def test_features(spark):
     assert {r["event_id"]: r["price"] for r in features.feature_asof(e, f, "user_id", "price").collect()} == {1: 5.0, 2: 6.0, 3: None}
     fit = elasticity.elasticity_fit(spark.createDataFrame([("g", float(p), 100.0 / p) for p in (1, 2, 4)], "k STRING, price DOUBLE, quantity DOUBLE"), ["k"])
     assert fit.first()["elasticity"] == pytest.approx(-1.0)
+
+
+def test_attributions_are_ranked_once(spark):
+    names, values = F.array(F.lit("view"), F.lit("price"), F.lit("stock")), F.array(F.col("a"), F.lit(0.5), F.lit(0.25))
+    rows = spark.createDataFrame([(1.0,), (-1.0,)], "a double").repartition(2).select("a", text.attribution_reason(names, values).alias("r"))
+    assert {r["a"]: r["r"] for r in rows.collect()} == {
+        1.0: "Based on items you recently viewed, Fits your usual price range, and Recommended based on your preferences",
+        -1.0: "Fits your usual price range and Recommended based on your preferences"}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") <= 1
