@@ -138,3 +138,31 @@ def test_scores_do_not_depend_on_slices():
 
 def test_thresholds():
     assert 0.4 < tx.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) < 0.8
+
+
+def test_all_labelled_texts_are_learned_from(spark, monkeypatch):
+    learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 0 and zlib.crc32(b"calibrate%d" % i) % 4 != 0
+    bad = lambda i: i % 3 == 0
+    texts = [(i, f"plain word{i % 7} {'awful thing' if bad(i) else 'fine day'}" + " more" * (9_000 if i % 50 == 0 else 1)) for i in range(7_000)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(bad(i))) for i, _ in texts], "doc_id long, toxic int")
+    table = tx.sums_of_parts(docs, tx.marks_of(labels), 3).toArrow().to_pandas().set_index("key")
+    rows, marked = (sum(learn(i) for i, _ in texts), sum(learn(i) for i, _ in texts if bad(i)))
+    assert tuple(table.loc[table.index.max(), ["texts", "marked"]]) == (rows, marked) and rows > 4_000
+    assert tuple(table.loc[zlib.crc32(b"more") % tx.BUCKETS, ["texts", "marked"]]) == (rows, marked)
+    monkeypatch.setattr(tx, "RUN_ROWS", 700)
+    made = [tx.train(d, labels, part_rows=2_000) for d in (docs, docs.repartition(5))]
+    assert np.array_equal(made[0].embedding, made[1].embedding) and np.array_equal(made[0].weights, made[1].weights)
+    assert made[0].thresholds == made[1].thresholds and {"", "en"} == set(made[0].thresholds)
+    high, low = made[0].score(pa.array(["plain awful thing", "plain fine day"]))
+    assert high > 0.9 and low < 0.1
+
+
+def test_binned_thresholds(spark):
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.random(400), 4)
+    toxic = (scores + rng.normal(0, 0.2, 400) > 0.5).astype(int)
+    rows = [("a" if i % 3 else None, float(s), int(t)) for i, (s, t) in enumerate(zip(scores, toxic))]
+    got = tx.thresholds_of(spark.createDataFrame(rows, "lang string, score double, toxic int"))
+    own = np.array([r[0] == "a" for r in rows])
+    assert abs(got[""] - tx.best_threshold(scores, toxic)) < 2e-3 and abs(got["a"] - tx.best_threshold(scores[own], toxic[own])) < 2e-3
