@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keeprank.functions.scoring import freshness_weight
 from keeprank.operators.features import mean_vectors
 from keeprank.operators.ranking import top_k
+from keeprank.session import write_and_read
 
 
 def linear_attributions(rows: DataFrame, coefficients: dict[str, float]) -> DataFrame:
@@ -26,7 +27,10 @@ def mood_vectors(interactions: DataFrame, vectors: DataFrame, context: Column, n
 
 
 def logistic_scores(train: DataFrame, score: DataFrame, inputs: list[str], label: str = "label") -> DataFrame:
-    """Probability of ``label`` by logistic regression on numeric inputs."""
+    """Probability of ``label`` by logistic regression on numeric inputs.
+
+    The fit passes over its rows several times, so they are written once and whatever made them runs once.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -35,6 +39,7 @@ def logistic_scores(train: DataFrame, score: DataFrame, inputs: list[str], label
     stages = [VectorAssembler(inputCols=inputs, outputCol="raw", handleInvalid="skip"),
               StandardScaler(inputCol="raw", outputCol="features", withMean=True),
               LogisticRegression(labelCol=label, maxIter=30, regParam=0.01)]
-    scored = Pipeline(stages=stages).fit(train).transform(score)
+    rows = write_and_read(train, "logistic-rows")
+    scored = Pipeline(stages=stages).fit(rows.select(*inputs, label)).transform(rows if score is train else score)
     return scored.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop(
         "raw", "features", "rawPrediction", "prediction")

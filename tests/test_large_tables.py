@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
-from keeprank.operators import fraud, similarity, vector_index
+from keeprank.operators import fraud, learned, similarity, vector_index
 
 
 def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
@@ -155,3 +155,21 @@ def broadcast_scans(df, names):
 def test_contexts_do_not_broadcast_items_or_users(spark):
     """Their files are small for their rows, so 60 copies still pass the threshold and fill the driver."""
     assert broadcast_scans(QUERIES["context_compare"](spark, "/root/testdata/sf0.001"), ["part", "customer"]) == []
+
+
+def test_logistic_rows_are_made_once(spark):
+    """The fit passes over its rows many times; what makes them is not run again for each pass, nor for the scores."""
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(1)
+    table = [(i, float(a), float(a + rng.normal() > 0)) for i, a in enumerate(rng.normal(size=300))]
+    rows = spark.createDataFrame(table, "id long, a double, label double").mapInArrow(mark, "id long, a double, label double")
+    got = {r["id"]: r["probability"] for r in learned.logistic_scores(rows, rows, ["a"]).collect()}
+    assert made.value == 300 and len(got) == 300
+    order = sorted(table, key=lambda r: r[1])
+    assert got[order[0][0]] < 0.2 and got[order[-1][0]] > 0.8 and sorted(got.values()) == [got[r[0]] for r in order]
