@@ -1,5 +1,7 @@
 """Faults that only larger or folder-shaped tables show."""
 
+import datetime as dt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
 from keeprank.operators import fraud, learned, similarity, vector_index
+from keeprank.streaming import jobs, runner
 
 
 def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
@@ -173,3 +176,22 @@ def test_logistic_rows_are_made_once(spark):
     assert made.value == 300 and len(got) == 300
     order = sorted(table, key=lambda r: r[1])
     assert got[order[0][0]] < 0.2 and got[order[-1][0]] > 0.8 and sorted(got.values()) == [got[r[0]] for r in order]
+
+
+def test_returns_are_matched_step_by_step(spark, tmp_path, monkeypatch):
+    """Steps in the order of the times give the rows of one step, and the state holds what the watermark covers, not the whole table."""
+    start = dt.datetime(2024, 1, 1)
+    days = lambda n: start + dt.timedelta(days=n)
+    gap = lambda i: i * 7 % 45
+    bought = spark.createDataFrame([(i, days(i // 3)) for i in range(1_200)], "user_id long, purchase_ts timestamp")
+    back = spark.createDataFrame([(i, days(i // 3 + gap(i))) for i in range(0, 1_200, 2)], "user_id long, return_ts timestamp")
+    far = dt.datetime(2200, 1, 1)
+    want = {i: days(i // 3 + gap(i)) if i % 2 == 0 and gap(i) <= 30 else None for i in range(1_200)}
+    monkeypatch.setattr(runner, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    out = runner.run_in_order([(bought, "purchase_ts", [-1, far]), (back, "return_ts", [-2, far])],
+                              lambda p, r: jobs.match_returns(p, r, ["user_id"], 30), "matched", rows_per_step=300)
+    rows = [r for r in out.collect() if r["user_id"] >= 0]
+    assert len(rows) == 1_200 and {r["user_id"]: r["return_ts"] for r in rows} == want
+    batches = [int(p.name) for p in (tmp_path / "matched" / "log" / "commits").iterdir() if p.name.isdigit()]
+    held = [spark.read.format("statestore").option("joinSide", "left").option("batchId", n).load(f"{tmp_path}/matched/log").count() for n in batches]
+    assert len(batches) > 5 and 0 < max(held) < 500
