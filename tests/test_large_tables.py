@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
-from keeprank.operators import fraud, learned, similarity, vector_index
+from keeprank.operators import fraud, graph, learned, similarity, vector_index
 from keeprank.streaming import jobs, runner
 
 
@@ -195,3 +195,15 @@ def test_returns_are_matched_step_by_step(spark, tmp_path, monkeypatch):
     batches = [int(p.name) for p in (tmp_path / "matched" / "log" / "commits").iterdir() if p.name.isdigit()]
     held = [spark.read.format("statestore").option("joinSide", "left").option("batchId", n).load(f"{tmp_path}/matched/log").count() for n in batches]
     assert len(batches) > 5 and 0 < max(held) < 500
+
+
+def test_purchase_lines_of_the_graph_are_joined_once(spark):
+    plan = graph.commerce_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "lineitem.parquet" not in plan
+
+
+def test_distinct_links_of_both_directions(spark):
+    rows = [("a", "b", "x"), ("b", "a", "x"), ("a", "b", "y"), ("c", "c", "x"), ("a", "b", "x"), (None, "d", "x")]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string")
+    want = sorted(map(str, graph.undirected(edges).select("node", "nbr", "edge_type").distinct().collect()))
+    assert sorted(map(str, graph.distinct_links(edges, "edge_type").collect())) == want
