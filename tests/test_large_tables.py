@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
 from keeprank.operators import fraud, graph, learned, similarity, vector_index
+from keeprank.plans import chain
+from keeprank.sources import tables as T
 from keeprank.streaming import jobs, runner
 
 
@@ -207,3 +209,27 @@ def test_distinct_links_of_both_directions(spark):
     edges = spark.createDataFrame(rows, "src string, dst string, edge_type string")
     want = sorted(map(str, graph.undirected(edges).select("node", "nbr", "edge_type").distinct().collect()))
     assert sorted(map(str, graph.distinct_links(edges, "edge_type").collect())) == want
+
+
+def test_vector_join_returns_products_of_the_vectors_as_given(spark):
+    m, table = vector_table(spark)
+    got = similarity.vector_join(table, table.withColumnRenamed("id", "other"), "id", "other", "v", "v", k=5, pivots=4, block_rows=20, product=True).collect()
+    assert len(got) == 5 * len(m) and all(abs(r["product"] - m[r["id"]] @ m[r["other"]]) < 1e-9 for r in got)
+
+
+def test_injected_items_bring_their_own_columns(spark):
+    df = spark.createDataFrame([(1, i, 10.0 - i, float(i), None) for i in range(8)], "user_id int, item_id int, score double, inventory double, _need double")
+    pool = spark.createDataFrame([(1, 50, 1, 3.0, 4.0)], "user_id int, item_id int, pool_rank int, inventory double, _need double")
+    out = {r["item_id"]: (r["inventory"], r["_need"]) for r in df.transform(chain.discovery_step(pool, carry=["inventory", "_need"])).collect()}
+    assert out == {i: (float(i), None) for i in (0, 1, 2, 3, 4, 5, 7)} | {50: (3.0, 4.0)}
+    left = df.transform(chain.discovery_step(pool, carry=["inventory", "_need"])).transform(chain.stock_step(None))
+    assert {r["item_id"] for r in left.collect()} == {0, 1, 2, 3, 4, 5, 7}
+
+
+def test_ranking_chain_full_joins_lines_once_and_asks_one_cell_of_few_items(spark, monkeypatch):
+    calls, cells = [], []
+    lines, join = T.purchase_lines, similarity.vector_join
+    monkeypatch.setattr(T, "purchase_lines", lambda *a: calls.append(a) or lines(*a))
+    monkeypatch.setattr(similarity, "vector_join", lambda *a, **kw: cells.append(kw.get("pivots", 32)) or join(*a, **kw))
+    assert QUERIES["ranking_chain_full"](spark, "/root/testdata/sf0.001").columns == ["user_id", "item_id", "score", "rank", "explanation"]
+    assert len(calls) == 1 and cells == [1]
