@@ -9,6 +9,7 @@ from keeprank.catalog.joins import MD5, md5
 from keeprank.catalog.projections import DRIVER_CLUSTERS, NAIVE_SQL, naive_forecast, payday
 from keeprank.operators import demand, features, graph, lifestage, membership, metrics, ranking, sampling, timeseries
 from keeprank.operators import discovery as disc
+from keeprank.session import write_and_read
 from keeprank.sources import tables as T
 
 __all__ = ["MD5"]
@@ -97,9 +98,13 @@ lv AS (SELECT rd.user_id, rd.ref_id, rd.seq, rd.mean_divergence, be.event_type,
 def divergences(spark, d):
     log = T.interactions(spark, d).select("user_id", "item_id", F.dayofmonth("ts").cast("bigint").alias("seq")).join(
         T.items(spark, d).select("item_id", "category"), "item_id")
-    activity = log.groupBy("user_id", "seq", "category").agg(F.count("*").alias("n"))
-    baseline = T.affinities(spark, d).filter("affinity >= 0.18").groupBy("user_id").agg(F.collect_set("category").alias("cats"))
-    pairs = log.select("user_id", (F.col("user_id") + 1).alias("ref_id")).distinct()
+    # Written once: pairs, batches and the shares of the clusters all read it.
+    activity = write_and_read(log.groupBy("user_id", "seq", "category").agg(F.count("*").alias("n")), "activity")
+    pairs = write_and_read(activity.select("user_id", (F.col("user_id") + 1).alias("ref_id")).distinct(), "activity-pairs")
+    # Only the purchases of a pair's two users count.
+    compared = pairs.select("user_id").unionByName(pairs.select(F.col("ref_id").alias("user_id"))).distinct()
+    bought = T.with_category(spark, d, T.purchase_lines(spark, d, compared)).withColumn("n", F.lit(1))
+    baseline = T.affinities_of(bought).filter("affinity >= 0.18").groupBy("user_id").agg(F.collect_set("category").alias("cats"))
     batches = activity.groupBy("user_id", "seq").agg(F.collect_set("category").alias("new_cats"))
     return lifestage.divergence_steps(baseline, pairs, batches), activity
 

@@ -233,3 +233,20 @@ def test_ranking_chain_full_joins_lines_once_and_asks_one_cell_of_few_items(spar
     monkeypatch.setattr(similarity, "vector_join", lambda *a, **kw: cells.append(kw.get("pivots", 32)) or join(*a, **kw))
     assert QUERIES["ranking_chain_full"](spark, "/root/testdata/sf0.001").columns == ["user_id", "item_id", "score", "rank", "explanation"]
     assert len(calls) == 1 and cells == [1]
+
+
+def test_life_stage_report_reads_events_twice_and_few_lines(spark, monkeypatch):
+    """Once for the activity and once for the vectors; lines of the compared users alone are joined."""
+    calls, users = [], []
+    log, lines = T.interactions, T.purchase_lines
+    monkeypatch.setattr(T, "interactions", lambda *a: calls.append(a) or log(*a))
+    monkeypatch.setattr(T, "purchase_lines", lambda *a: users.append(len(a)) or lines(*a))
+    plan = QUERIES["life_stage_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 2 and users == [3] and "props" not in plan
+
+
+def test_lines_of_chosen_users(spark):
+    d = "/root/testdata/sf0.001"
+    users = spark.createDataFrame([(3,), (3,), (7,), (None,)], "user_id long")
+    want = sorted(map(tuple, T.purchase_lines(spark, d).filter("user_id IN (3, 7)").collect()), key=str)
+    assert sorted(map(tuple, T.purchase_lines(spark, d, users).collect()), key=str) == want and want
