@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 DEFAULT_FILE = "byte_bpe_50k.json"
 CACHE_BYTES = 40_000_000
 ENTRY_BYTES = 200
-JOINED = 500
+JOINED = 60
 SLICE_BYTES = 3_000_000
 
 
@@ -146,10 +146,10 @@ class TextEncoder:
     def table(self, path: str) -> Chunks:
         return Chunks(path)
 
-    def slices(self, texts: pa.Array):
+    def slices(self, texts: pa.Array, slice_bytes: int | None = None):
         """Cut a column so that a slice has about ``SLICE_BYTES`` of text; one text is never cut."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        group = (np.cumsum(size) // SLICE_BYTES) if len(size) else size
+        group = (np.cumsum(size) // (slice_bytes or SLICE_BYTES)) if len(size) else size
         edges = np.flatnonzero(np.diff(group, prepend=-1, append=-2)) if len(size) else np.zeros(1, int)
         for a, b in zip(edges[:-1], edges[1:]):
             yield int(a), int(b), texts.slice(int(a), int(b - a))

@@ -19,6 +19,7 @@ BLOCK_TOKENS = 65_536
 CHECKPOINT_TOKENS = 512
 LIMIT = 16
 BATCH_TOKENS = 2_000_000
+SLICE_BYTES = 6_000_000
 MAGIC = b"KRH1"
 HEAD = "<4sIQIIQI"  # magic, documents, tokens, checkpoint interval, code limit, bits, crc of the rest
 
@@ -78,23 +79,31 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, bits, width
 
 
+def pack_bits(words: np.ndarray, width: np.ndarray, at: np.ndarray, bits: int) -> bytes:
+    """Code words one after another, first bit first. ``at`` is where each begins; a word has 1 to 64 bits."""
+    cell, end = at >> 6, (at & 63) + width
+    over = np.flatnonzero(end > 64)
+    own = words << np.where(end > 64, 0, 64 - end).astype(np.uint64)
+    own[over] = words[over] >> (end[over] - 64).astype(np.uint64)
+    packed = np.zeros((bits + 63) // 64, dtype=np.uint64)
+    if len(at):
+        # Words that begin in one cell follow each other, and at most one of them runs over into the next cell.
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        packed[cell[first]] = np.bitwise_or.reduceat(own, first)
+        packed[cell[over] + 1] |= words[over] << (128 - end[over]).astype(np.uint64)
+    return packed.astype(">u8").tobytes()[:(bits + 7) // 8]
+
+
 def encode_block(doc_ids: list, doc_lengths: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray,
                  interval: int = CHECKPOINT_TOKENS) -> bytes:
     """Header, document ids (with a null mark) and lengths, checkpoints, bits."""
     width = lengths[ids].astype(np.int64)
     at = np.cumsum(width) - width
     bits = int(width.sum())
-    word = codes[ids].astype(np.int64) << (40 - (at & 7) - width)
-    byte, size = at >> 3, (bits + 7) // 8 + 5
-    packed = np.zeros(size, dtype=np.float64)
-    for lane in range(5):
-        part = (word >> (32 - 8 * lane)) & 255
-        if part.any():
-            packed += np.bincount(byte + lane, weights=part, minlength=size)
     docs = np.array([d if d is not None else 0 for d in doc_ids], dtype="<i8").tobytes()
     nulls = bytes(d is None for d in doc_ids)
     body = b"".join([docs, nulls, doc_lengths.astype("<u8").tobytes(), at[::interval].astype("<u8").tobytes(),
-                     packed[:(bits + 7) // 8].astype(np.uint8).tobytes()])
+                     pack_bits(codes[ids], width, at, bits)])
     return struct.pack(HEAD, MAGIC, len(doc_ids), len(ids), interval, int(lengths.max(initial=1)), bits, zlib.crc32(body)) + body
 
 
@@ -164,7 +173,7 @@ def tokenise_in_order(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ["part", "block", "before", "doc_ids", "lens", "ids", "n_tokens", "counts"])
 
         for batch in batches:
-            for a, b, texts in enc.slices(batch.column(1)):
+            for a, b, texts in enc.slices(batch.column(1), SLICE_BYTES):
                 ids, at = enc.encode(texts)
                 end = np.array([end_id], dtype=ids.dtype)
                 for i, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):

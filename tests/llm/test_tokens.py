@@ -211,3 +211,13 @@ def test_model_file():
     assert all(p == judge.id_to_piece(i) and s == judge.get_score(i) for i, (p, s, _) in enumerate(model.pieces))
     rules = merge_rules(model)
     assert ("▁", "t") in rules and rules.index(("▁", "t")) < rules.index(("o", "m"))
+
+
+def test_packed_bits_are_the_words_one_after_another():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 70, 3000):
+        width = rng.integers(1, 18, n)
+        words = np.array([int(rng.integers(0, 1 << int(w))) for w in width], dtype=np.uint64)
+        want = "".join(f"{int(v):0{w}b}" for v, w in zip(words, width.tolist()))
+        got = hf.pack_bits(words, width, np.cumsum(width) - width, len(want))
+        assert "".join(f"{b:08b}" for b in got) == want + "0" * (-len(want) % 8)
