@@ -39,22 +39,38 @@ def ip_overlap_pairs(reviews: DataFrame, threshold: float = S.IP_OVERLAP) -> Dat
 def timing_vectors(reviews: DataFrame, slot: Column, slots: int) -> DataFrame:
     """Centred review counts per time slot; the cosine of two such vectors is their correlation."""
     counts = [F.count_if(slot == i).cast("double") for i in range(slots)]
-    raw = reviews.groupBy("seller_id").agg(F.array(*counts).alias("counts"))
+    raw = reviews.filter("seller_id IS NOT NULL").groupBy("seller_id").agg(F.array(*counts).alias("counts"))
     mean = F.aggregate("counts", F.lit(0.0), lambda a, v: a + v) / F.lit(float(slots))
     return raw.select("seller_id", F.transform("counts", lambda v: v - mean).alias("timing"))
 
 
+def _flat(vectors: DataFrame) -> DataFrame:
+    """``flat``: the same count in every slot, so a correlation with this seller is not a number."""
+    return vectors.withColumn("flat", F.forall("timing", lambda v: v == 0))
+
+
 def timing_pairs(reviews: DataFrame, slot: Column, slots: int, threshold: float = S.TIMING_CORRELATION) -> DataFrame:
-    vectors = timing_vectors(reviews, slot, slots)
-    found = vector_join(vectors, vectors, "seller_id", "seller_id", "timing", "timing", min_similarity=threshold,
+    """Pairs whose correlation reaches ``threshold``. NaN counts as larger than every number, so a flat seller pairs with all."""
+    vectors = write_and_read(_flat(timing_vectors(reviews, slot, slots)), "timing")
+    varied = vectors.filter("NOT flat")
+    found = vector_join(varied, varied, "seller_id", "seller_id", "timing", "timing", min_similarity=threshold,
                         same_table=True, digits=None)
+    flat = vectors.filter("flat").select(F.col("seller_id").alias("_flat_id"))
+    other = (F.col("seller_id") > F.col("_flat_id")) | (~F.col("flat") & (F.col("seller_id") < F.col("_flat_id")))
+    undefined = vectors.select("seller_id", "flat").join(flat, other).select(
+        F.least("seller_id", "_flat_id").alias("seller_a"), F.greatest("seller_id", "_flat_id").alias("seller_b"),
+        F.lit(float("nan")).alias("correlation"))
     return found.select(F.col("seller_id").alias("seller_a"), F.col("seller_id_b").alias("seller_b"),
-                        F.col("similarity").alias("correlation"))
+                        F.col("similarity").alias("correlation")).unionByName(undefined)
 
 
 def timing_stars(reviews: DataFrame, slot: Column, slots: int, threshold: float = S.TIMING_CORRELATION) -> DataFrame:
     """(seller_a, seller_b): few edges that connect the same sellers as all of ``timing_pairs``."""
-    return link_stars(timing_vectors(reviews, slot, slots), "seller_id", "timing", threshold).toDF("seller_a", "seller_b")
+    vectors = write_and_read(_flat(timing_vectors(reviews, slot, slots)), "timing")
+    hub = vectors.filter("flat").agg(F.min("seller_id").alias("seller_a")).filter("seller_a IS NOT NULL")
+    spokes = vectors.select(F.col("seller_id").alias("seller_b")).join(hub, F.col("seller_a") != F.col("seller_b"))
+    return link_stars(vectors.filter("NOT flat"), "seller_id", "timing", threshold).toDF("seller_a", "seller_b").unionByName(
+        spokes.select("seller_a", "seller_b"))
 
 
 def candidate_map(items: DataFrame, indicators: DataFrame) -> DataFrame:

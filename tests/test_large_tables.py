@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -9,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
+from keeprank.catalog.joins import TIMING_SQL
 from keeprank.operators import fraud, graph, learned, similarity, vector_index
 from keeprank.plans import chain
 from keeprank.sources import tables as T
@@ -73,6 +75,20 @@ def test_correlations_are_not_cut_before_they_are_rounded(spark):
     assert all(abs(v - want[k]) < 1e-12 for k, v in got.items())
 
 
+def test_a_seller_with_equal_counts_pairs_with_all_as_in_sql(spark):
+    months = {1: [1, 1, 2], 2: [1, 1, 2, 2], 3: list(range(1, 13)), 4: [5, 9, 9], 5: list(range(1, 13)) * 2, 6: [5, 9]}
+    rows = [(seller, f"1995-{m:02d}-03") for seller, per in months.items() for m in per]
+    reviews = spark.createDataFrame(rows, "seller_id long, day string").withColumn("ts", F.col("day").cast("timestamp"))
+    made = fraud.timing_pairs(reviews, F.month("ts") - 1, 12, 0.6).withColumn("correlation", F.round("correlation", 6))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE reviews (seller_id BIGINT, ts TIMESTAMP)")
+    con.executemany("INSERT INTO reviews VALUES (?, ?)", [(seller, f"{day} 00:00:00") for seller, day in rows])
+    want = con.execute(f"WITH {TIMING_SQL} SELECT seller_a, seller_b, round(correlation, 6) FROM tp").fetchall()
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want)) and len(want) == 11
+    rings = fraud.fraud_rings(fraud.timing_stars(reviews, F.month("ts") - 1, 12, 0.6))
+    assert sorted(map(tuple, rings.collect())) == [(seller, 1, 6) for seller in months]
+
+
 def test_rings_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TILE_CELLS", 100)
     m, table = vector_table(spark)
