@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
 from keeprank.catalog.joins import TIMING_SQL
-from keeprank.operators import fraud, graph, learned, similarity, vector_index
-from keeprank.plans import chain
+from keeprank.operators import features, fraud, graph, learned, similarity, vector_index
+from keeprank.plans import chain, recommend
 from keeprank.sources import tables as T
 from keeprank.streaming import jobs, runner
 
@@ -242,6 +242,50 @@ def test_injected_items_bring_their_own_columns(spark):
     assert {r["item_id"] for r in left.collect()} == {0, 1, 2, 3, 4, 5, 7}
 
 
+def test_unseen_pool_equals_all_pairs(spark, monkeypatch):
+    """Users of no, some and all categories, one with most of a category; short lists end before k rows."""
+    monkeypatch.setattr(recommend, "CHUNK", 4)
+    rng = np.random.default_rng(4)
+    kinds = [*"aaaaaaaabbbbbbbbbbcccdddddddddd"] * 2
+    items = [(i, c, float(rng.integers(10, 51) / 10)) for i, c in enumerate(kinds)]
+    owned = {(u, int(i)) for u in range(1, 30) for i in rng.integers(0, len(items), int(rng.integers(1, 25)))}
+    owned |= {(30, i) for i, c in enumerate(kinds) if c in "ab"} | {(31, i) for i in range(len(items) - 5)}
+    catalogue = spark.createDataFrame(items, "item_id long, category string, rating double")
+    bought = spark.createDataFrame(sorted(owned), "user_id long, item_id long")
+    tastes = T.affinities_of(bought.join(catalogue, "item_id").withColumn("n", F.lit(1)), "items")
+    users = spark.range(32).withColumnRenamed("id", "user_id")
+    share = {(r["user_id"], r["category"]): r["affinity"] for r in tastes.collect()}
+    for k, distance in ((3, 0.6), (14, 0.75)):
+        want = {}
+        for u in range(32):
+            far = [(-round(r / 5 * (1 - share.get((u, c), 0.0)), 9), i) for i, c, r in items
+                   if (u, i) not in owned and 1 - share.get((u, c), 0.0) >= distance]
+            want |= {(u, i): n + 1 for n, (_, i) in enumerate(sorted(far)[:k])}
+        got = chain.unseen_pool(users, bought, tastes, catalogue, k, distance).collect()
+        assert {(r["user_id"], r["item_id"]): r["pool_rank"] for r in got} == want and len(got) == len(want)
+
+
+def test_discoveries_reach_the_result_of_ranking_chain_full(spark):
+    d = "/root/testdata/sf0.01"
+    vectors = {r[0] for r in T.item_vectors(spark, d).select("item_id").collect()}
+    owned = {tuple(r) for r in T.history(spark, d).collect()}
+    rows = [(r["user_id"], r["item_id"]) for r in QUERIES["ranking_chain_full"](spark, d).collect()]
+    assert [r for r in rows if r[1] not in vectors] and not owned.intersection(rows) and len(set(rows)) == len(rows)
+
+
+def test_means_of_items_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    vectors = spark.createDataFrame([(i, rng.standard_normal(5).tolist()) for i in range(40)] + [(7, [1.0] * 5), (8, None)],
+                                    "item_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(int(u), int(i)) for u in range(30) for i in rng.integers(0, 60, 20)] + [(99, 59), (None, 3)],
+                                  "user_id long, item_id long")
+    want = {r[0]: r[1] for r in features.mean_vectors(pairs.distinct().join(vectors, "item_id"), "user_id").collect()}
+    for name, size in (("BLOCK_PAIRS", 100), ("BLOCK_ITEMS", 9), ("STEP_PAIRS", 7)):
+        got = {r[0]: r[1] for r in features.mean_of_items(pairs, vectors, "user_id").collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in got)
+        monkeypatch.setattr(features, name, size)
+
+
 def test_ranking_chain_full_joins_lines_once_and_asks_one_cell_of_few_items(spark, monkeypatch):
     calls, cells = [], []
     lines, join = T.purchase_lines, similarity.vector_join
