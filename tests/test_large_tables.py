@@ -10,7 +10,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES
+from keeprank.catalog import joins
 from keeprank.catalog.joins import TIMING_SQL
+from keeprank.catalog.projections import user_vectors
 from keeprank.operators import features, fraud, graph, learned, similarity, vector_index
 from keeprank.plans import chain, recommend
 from keeprank.sources import tables as T
@@ -295,6 +297,15 @@ def test_ranking_chain_full_joins_lines_once_and_asks_one_cell_of_few_items(spar
     assert len(calls) == 1 and cells == [1]
 
 
+def test_taste_graph_vectors_sends_a_vector_once_a_block(spark, monkeypatch):
+    """Not once for each cell that a wide threshold makes it visit."""
+    sent, made = [], similarity.Tiles.apply
+    monkeypatch.setattr(similarity.Tiles, "apply", lambda self, *a, **kw: sent.append(self.rows.count()) or made(self, *a, **kw))
+    users = user_vectors(spark, "/root/testdata/sf0.01").count()
+    QUERIES["taste_graph_vectors"](spark, "/root/testdata/sf0.01")
+    assert sent == [2 * users * joins.TASTE_SPLIT]
+
+
 def test_life_stage_report_reads_events_twice_and_few_lines(spark, monkeypatch):
     """Once for the activity and once for the vectors; lines of the compared users alone are joined."""
     calls, users = [], []
