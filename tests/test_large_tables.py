@@ -297,6 +297,18 @@ def test_ranking_chain_full_joins_lines_once_and_asks_one_cell_of_few_items(spar
     assert len(calls) == 1 and cells == [1]
 
 
+def test_stream_match_returns_joins_lines_once_and_lets_old_state_go(spark, monkeypatch):
+    plans, kept = [], []
+    run, append = runner.run_in_order, runner.run_append
+    monkeypatch.setattr(runner, "run_in_order", lambda ends, *a: plans.extend(
+        end[0]._jdf.queryExecution().optimizedPlan().toString() for end in ends) or run(ends, *a, rows_per_step=2_000))
+    monkeypatch.setattr(runner, "run_append", lambda *a: kept.append([spark.conf.get(c) for c in runner.SHORT_LIVED]) or append(*a))
+    before = [spark.conf.get(c) for c in runner.SHORT_LIVED]
+    rows = QUERIES["stream_match_returns"](spark, "/root/testdata/sf0.001").count()
+    assert rows == T.purchase_lines(spark, "/root/testdata/sf0.001").count() and not [p for p in plans if "Join" in p]
+    assert len(kept) > 2 and all(k == list(runner.SHORT_LIVED.values()) for k in kept) and before == [spark.conf.get(c) for c in runner.SHORT_LIVED]
+
+
 def test_taste_graph_vectors_sends_a_vector_once_a_block(spark, monkeypatch):
     """Not once for each cell that a wide threshold makes it visit."""
     sent, made = [], similarity.Tiles.apply
