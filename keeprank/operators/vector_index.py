@@ -1,4 +1,4 @@
-"""A compressed vector index: inverted lists of product-quantised residuals, searched by distance tables, re-ranked exactly."""
+"""A compressed vector index: inverted lists of product-quantised residuals, searched by products with decoded rows, re-ranked exactly."""
 
 from __future__ import annotations
 
@@ -84,13 +84,12 @@ class Codec:
         q = _unit(q)
         return np.argsort((self.centers * self.centers).sum(axis=1)[None, :] - 2.0 * (q @ self.centers.T), axis=1, kind="stable")
 
+    def decode(self, home: int, codes: np.ndarray) -> np.ndarray:
+        return self.centers[home] + np.hstack([book[code] for book, code in zip(self.books, codes.T)])
+
     def scores(self, q: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate cosines of queries with the coded rows of one list: one table look-up per part."""
-        q = _unit(q)
-        out = np.repeat((q @ self.centers[home])[:, None], len(codes), axis=1)
-        for part, book, code in zip(self.parts(q), self.books, codes.T):
-            out += (part @ book.T)[:, code]
-        return out
+        """Approximate cosines of queries with the coded rows of one list: a row is decoded once for all queries, then one product."""
+        return _unit(q) @ self.decode(home, codes).T
 
 
 @dataclass
@@ -220,7 +219,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int, re
     """(query_id, item_id, similarity, rank): approximate top ``k`` by cosine for ``queries(query_id, embedding)``.
 
     Each query opens its ``probes`` nearest lists. Lists are packed into groups of about ``GROUP_ROWS`` codes, and a query travels once to each
-    group that holds a list it opens; a task scores a block of queries against the lists of a group by look-ups in distance tables and keeps the
+    group that holds a list it opens; a task scores a block of queries against the decoded lists of a group and keeps the
     best ``rerank`` of each query over the whole group. The best ``rerank`` over all groups are joined with their vectors and ranked by the exact cosine.
     """
     codec, spark = index.codec, queries.sparkSession

@@ -71,3 +71,11 @@ def test_codes_score_like_their_reconstruction():
         own = np.flatnonzero(home == h)
         back = codec.centers[h] + np.hstack([b[codes[own, j]] for j, b in enumerate(codec.books)])
         assert np.allclose(codec.scores(x[:5], h, codes[own]), vi._unit(x[:5]) @ back.T)
+
+
+def test_a_list_is_decoded_once_for_all_queries(monkeypatch):
+    codec = vi.Codec.fit(np.random.default_rng(0).standard_normal((300, 8)), 3)
+    codes, calls, made = np.zeros((50, 2), dtype=np.uint8), [], vi.Codec.decode
+    monkeypatch.setattr(vi.Codec, "decode", lambda self, *a: calls.append(a) or made(self, *a))
+    assert codec.scores(np.ones((20, 8)), 1, codes).shape == (20, 50) and len(calls) == 1
+    assert np.allclose(codec.decode(1, codes)[0], codec.centers[1] + np.concatenate([b[0] for b in codec.books]))
